@@ -1,4 +1,8 @@
 """The queries of this package, one for each operator, and the SQL of those that SQL can express."""
 
-QUERIES: dict = {}
+from . import near_dedup
+
+QUERIES: dict = {
+    "op3_simhash_near_dedup": near_dedup.op3_simhash_near_dedup,
+}
 ORACLES: dict = {}
