@@ -1,8 +1,9 @@
 """The queries of this package, one for each operator, and the SQL of those that SQL can express."""
 
-from . import near_dedup
+from . import near_dedup, toxicity
 
 QUERIES: dict = {
     "op3_simhash_near_dedup": near_dedup.op3_simhash_near_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
 ORACLES: dict = {}

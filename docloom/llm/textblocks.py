@@ -87,16 +87,20 @@ def words(offsets: np.ndarray, data: np.ndarray, ends_word: np.ndarray = SPACE)
     return starts, np.flatnonzero(solid & ~after) + 1, np.searchsorted(starts, offsets)
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+def _prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _powers(base, len(values)), out=total[1:])
-    return (total[ends] - total[starts]) * _powers(base, len(values) + 1, True)[starts]
+    return total
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words of one block."""
-    raw = _spans(data.astype(np.uint64) + np.uint64(1), starts, ends, _R)
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_S))
+def _spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    return (total[ends] - total[starts]) * _powers(base, len(total), True)[starts]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the words of one block that start and end there, for each array of ends."""
+    total = _prefix_sums(data.astype(np.uint64) + np.uint64(1), _R)
+    return [mix(_spans(total, starts, e, _R) + (e - starts).astype(np.uint64) * np.uint64(_S)) for e in ends]
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,4 +108,4 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     at = np.arange(len(hashes))
     ends = np.repeat(first[1:], np.diff(first))
     at = at[at + size <= ends]
-    return at, mix(_spans(hashes, at, at + size, _S))
+    return at, mix(_spans(_prefix_sums(hashes, _S), at, at + size, _S))
