@@ -1,11 +1,12 @@
 """The queries of this package, one for each operator, and the SQL of those that SQL can express."""
 
-from . import near_dedup, packing, sharding, toxicity
+from . import near_dedup, packing, sharding, substring_dedup, toxicity
 
 QUERIES: dict = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_simhash_near_dedup": near_dedup.op3_simhash_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES: dict = {}
