@@ -344,3 +344,24 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without the words of its 13-word windows that a smaller doc_id has."""
     found = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS beg FROM d WHERE len(w) >= 13
+), k AS (
+  SELECT doc_id, beg, array_to_string(w[beg:beg + 12], ' ') AS win FROM p
+), f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win),
+c AS (SELECT k.doc_id, k.beg FROM k JOIN f USING (win) WHERE f.first < k.doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(beg, beg + 13)) AS pos FROM c),
+a AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
+e AS (
+  SELECT d.doc_id, d.w, coalesce(a.gone, []::BIGINT[]) AS gone FROM d LEFT JOIN a USING (doc_id)
+), o AS (
+  SELECT doc_id, w, gone, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)) AS stay FROM e
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(stay, lambda i: w[i]), ' '), '')) AS kept_sha256 FROM o
+"""
