@@ -58,18 +58,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.xxhash64("text").alias("key"), F.col("text"))
 
 
-def _slots(toks: Column, at: Column, window: int) -> Column:
-    """Of a window: the values of its placeholders with their types, null for words."""
-    return F.transform(F.slice(toks, at + 1, window), lambda t: F.when(t < "\x04", t))
+def _windows(rows: DataFrame, window: int, *keep: str) -> DataFrame:
+    """(*keep, at, hash, slots) of each window; slots are its placeholders with their values, null for words."""
+    rows = _with_hashes(rows, window)
+    slots = lambda i: F.transform(F.slice("toks", i + 1, window), lambda t: F.when(t < "\x04", t))
+    each = F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), i.alias("at"), slots(i).alias("slots")))
+    rows = rows.withColumn("_windows", each).select(*keep, F.explode_outer("_windows").alias("w"))
+    return rows.select(*keep, "w.at", "w.hash", "w.slots")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(item_id, place, hash, slots, n_windows): the windows that tell each item; windows with fewer words than ``min_words`` are left out."""
-    toks = _with_hashes(benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("toks")), window)
-    each = toks.select("item_id", "toks", F.posexplode_outer("hashes").alias("place", "hash"))
-    each = each.select("item_id", "place", "hash", _slots(F.col("toks"), F.col("place"), window).alias("slots"), F.size(F.slice("toks", F.col("place") + 1, window)).alias("size"))
+    toks = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("toks"))
+    each = _windows(toks, window, "item_id").where("hash is not null").withColumnRenamed("at", "place")
     words = F.size(F.filter("slots", lambda s: s.isNull()))
-    each = each.where(F.col("hash").isNotNull() & (words >= F.least(F.lit(min_words), F.col("size")))).drop("size")
+    each = each.where(words >= F.least(F.lit(min_words), F.size("slots")))
     n = each.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
     return each.join(n, "item_id")
 
@@ -96,8 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     f = _sized(found).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
     again = docs.join(f, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left_semi")
     again = again.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", tokens(F.col("text")).alias("toks"))
-    again = _with_hashes(again, window).select("doc_id", "key", "toks", F.posexplode_outer("hashes").alias("at", "hash"))
-    again = again.select("doc_id", "key", "at", "hash", _slots(F.col("toks"), F.col("at"), window).alias("own"))
+    again = _windows(again, window, "doc_id", "key").withColumnRenamed("slots", "own")
     met = again.join(_sized(items), "hash").select("doc_id", "key", "item_id", "n_windows", "place", (F.col("at") - F.col("place")).alias("shift"), "slots", "own")
     met = materialize(met, "template-matches")
     line = ["doc_id", "key", "item_id", "shift"]
