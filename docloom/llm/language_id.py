@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .storage import tune
+from .storage import frugal, tune
 from .textblocks import blocks, utf8
 
 WINDOW = 256
@@ -145,7 +145,7 @@ def train(docs: DataFrame) -> Network:
     for r in counts:
         share = F.when(F.col("lang") == r.lang, int(min(1.0, SAMPLE_DOCUMENTS / r.n) * (1 << 20))).otherwise(share)
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share)
-    found = some.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_sample, "lang string, window binary").toArrow()
+    found = some.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(_sample), "lang string, window binary").toArrow()
     if not found.num_rows:
         return Network()
     languages = sorted(set(found.column("lang").to_pylist()))
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
             score = np.clip(total[np.arange(len(total)), best] / np.maximum(np.diff(off), 1), 0, 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(languages[best], pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    found = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    found = docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     known = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
     return found.withColumn("lang_pred", F.when(known, F.col("lang_pred")).otherwise(UNDETERMINED)).withColumn("score", F.when(known, F.col("score")).otherwise(0.0))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, tune
+from .storage import frugal, materialize, tune
 from .textblocks import mix, utf8
 
 SHINGLE_WORDS = 4
@@ -66,7 +66,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fingerprint bigint")
+    return rows.mapInArrow(frugal(run), f"id {kind}, fingerprint bigint")
 
 
 def _segments(max_distance: int) -> list[tuple[int, int]]:
@@ -168,7 +168,7 @@ def links(marks: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         keys.append(F.lit(t << 40).cast("bigint") + F.shiftleft(part[0], w2) + part[1])
     dealt = marks.select(F.explode(F.array(*keys)).alias("key"), "fingerprint")
     n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "key").sortWithinPartitions("key", "fingerprint").mapInArrow(_link(max_distance), "a bigint, b bigint").distinct()
+    return dealt.repartition(n, "key").sortWithinPartitions("key", "fingerprint").mapInArrow(frugal(_link(max_distance)), "a bigint, b bigint").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

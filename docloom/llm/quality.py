@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, tune
+from .storage import frugal, materialize, tune
 from .textblocks import blocks, utf8
 
 ORDER = 4
@@ -121,7 +121,7 @@ def perplexities(docs: DataFrame, shards: list) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(value, pa.float64(), mask=n == 0)], names=["doc_id", "lang", "n_bytes", "perplexity"])
 
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n_bytes bigint, perplexity double")
+    return rows.mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n_bytes bigint, perplexity double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -135,7 +135,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     tune(spark)
     marks = _near(trusted_marks(labels))
     trusted = docs.join(marks, "doc_id", "left_semi")
-    counts = trusted.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = trusted.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(_count), "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     grams, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
     if not len(grams):

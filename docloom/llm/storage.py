@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -42,6 +44,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Modules with caches that live as long as a Python worker, and what empties them.
+_CACHES = {"docloom.llm.packing": "_memo", "docloom.llm.textblocks": "_tables"}
+
+
+def release(keep: str = "") -> None:
+    """Give a Python worker's free memory back to the system: workers are reused by later stages."""
+    import pyarrow as pa
+
+    for module, name in _CACHES.items():
+        if module != keep and module in sys.modules:
+            getattr(sys.modules[module], name).clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
+def frugal(run, keep: str = ""):
+    """``run`` (a function for mapInArrow) that releases memory when a partition ends; ``keep`` names a module whose cache stays."""
+
+    def lean(batches):
+        if not keep:
+            release()
+        try:
+            yield from run(batches)
+        finally:
+            release(keep)
+
+    return lean
+
+
 def clear(spark: SparkSession) -> None:
     """Remove this application's written tables; call it when their readers have ended."""
     jvm = spark.sparkContext._jvm

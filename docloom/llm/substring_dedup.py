@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .storage import fresh_path, materialize, tune
+from .storage import fresh_path, frugal, materialize, release, tune
 from .textblocks import blocks, utf8, windows, word_hashes, words
 
 WINDOW = 13
 FANOUT = 4
 #: Text of one block of documents, and text whose windows one shard holds.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 SHARD_BYTES = 1 << 24
 MIN_SHARDS = 32
 #: The first batch of a one-shot run, as a share of the documents.
@@ -162,6 +162,7 @@ def _join(keep_run: bool):
                     out.append((int(key[0]), _COPIES, int(blocks_[n]), _pack(at[mine], source[mine])))
             if keep_run and fresh.any():
                 out.append((int(key[0]), _RUN, 0, _pack(known[fresh], least[fresh])))
+        release()
         return pd.DataFrame(out, columns=["shard", "kind", "block", "payload"])
 
     return run
@@ -215,7 +216,7 @@ class SubstringIndex:
         """Claims (doc_id, key, start, n, source) of a batch's windows that are copies; with ``keep`` the batch joins the index."""
         tune(self.spark)
         rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-        found = rows.mapInArrow(_scan(self.shards, self.window), _ROWS)
+        found = rows.mapInArrow(frugal(_scan(self.shards, self.window)), _ROWS)
         if self.runs:
             found = found.unionByName(self._read())
         joined = found.groupBy("shard").applyInPandas(_join(keep), _ROWS)
@@ -275,14 +276,14 @@ def verify(docs: DataFrame, claims: DataFrame, size: int = WINDOW) -> DataFrame:
     by_doc = claims.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "source")).alias("claims"))
     by_doc = _maybe_broadcast(materialize(by_doc, "claims-by-document"))
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    texts = keyed.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "claims").mapInArrow(_claim_texts(size), "doc_id bigint, key bigint, start int, n int, source bigint, claim string")
+    texts = keyed.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "claims").mapInArrow(frugal(_claim_texts(size)), "doc_id bigint, key bigint, start int, n int, source bigint, claim string")
     wanted = _maybe_broadcast(claims.select(F.col("source").alias("doc_id")).distinct())
     one = F.concat(F.lit(" "), F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), F.lit(" "))
     sources = keyed.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("source"), one.alias("whole"))
     met = texts.join(sources, "source")
     hold = F.contains("whole", F.concat(F.lit(" "), "claim", F.lit(" ")))
     met = met.select("doc_id", "key", "start", "n", "claim", F.when(~hold, F.trim("whole")).alias("whole"))
-    met = met.mapInArrow(_verified(size), "doc_id bigint, key bigint, start int, n int")
+    met = met.mapInArrow(frugal(_verified(size)), "doc_id bigint, key bigint, start int, n int")
     return materialize(met.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
 
 
@@ -317,7 +318,7 @@ def remove_copies(docs: DataFrame, claims: DataFrame, size: int = WINDOW) -> Dat
     own = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept", "_spans")]
     joined = docs.select(*(f.name for f in own)).join(spans, (F.col("doc_id").cast("bigint") == F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_doc", "_key")
     schema = StructType([*own, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    return joined.mapInArrow(_cut(size, [f.name for f in own].index("text"), len(own)), schema)
+    return joined.mapInArrow(frugal(_cut(size, [f.name for f in own].index("text"), len(own))), schema)
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, first_batch: float = FIRST_BATCH) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, tune
+from .storage import frugal, materialize, tune
 
 K = 20
 SCALE = 64
@@ -199,17 +199,17 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     parts = max(1, min(10_000, -(-n // (4 * BUCKET_ROWS))))
     columns = ["id", "vector", "norm", "dims"]
     ordered = vectors.select(*columns).repartitionByRange(parts, "dims", F.desc("norm"), "id").sortWithinPartitions("dims", F.desc("norm"), "id")
-    buckets = materialize(ordered.mapInArrow(_blocks(BUCKET_ROWS), _BLOCK), "buckets")
+    buckets = materialize(ordered.mapInArrow(frugal(_blocks(BUCKET_ROWS)), _BLOCK), "buckets")
     queries = vectors.where(is_query(F.col("id"))).select(*columns)
-    queries = queries.repartitionByRange(parts, "dims", "id").sortWithinPartitions("dims", "id").mapInArrow(_blocks(QUERY_ROWS), _BLOCK)
+    queries = queries.repartitionByRange(parts, "dims", "id").sortWithinPartitions("dims", "id").mapInArrow(frugal(_blocks(QUERY_ROWS)), _BLOCK)
 
     first = buckets.groupBy("dims").agg(F.max_by("block", "longest").alias("block")).orderBy(F.desc("dims")).limit(FIRST_LOOKS)
     seeds = [(r.dims, bytes(r.ids), bytes(r.vectors)) for r in buckets.join(F.broadcast(first.select("block")), "block", "left_semi").collect()]
     bounded = "q_block bigint, dims int, reach double, q_ids binary, q binary, bounds binary"
-    queries = materialize(queries.mapInArrow(_first_look(spark.sparkContext.broadcast(seeds), k), bounded), "bounds")
+    queries = materialize(queries.mapInArrow(frugal(_first_look(spark.sparkContext.broadcast(seeds), k)), bounded), "bounds")
     plan = queries.select("q_block", "dims", "reach").join(buckets.select("block", "dims", "longest"), "dims").where(F.col("longest") * (1 + 1e-9) >= F.col("reach")).select("q_block", "block")
     pairs = plan.join(queries, "q_block").join(buckets.drop("dims"), "block").select("dims", "q_ids", "q", "bounds", "ids", "vectors")
-    found = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_pairs(k), "query_id bigint, vec_id bigint, score bigint")
+    found = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(frugal(_pairs(k)), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .storage import materialize, tune
+from .storage import frugal, materialize, tune
 from .textblocks import LOWER, NON_WORD, blocks, mix, utf8, word_hashes, words
 
 DISCOUNT = 0.75
@@ -74,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         off, data = utf8(b.column(0))
         label = b.column(1).to_numpy().astype(np.int64)
-        for i, j in blocks(off, 1 << 23):
+        for i, j in blocks(off):
             h, first = _tokens(off[i : j + 1] - off[i], data[off[i] : off[j]])
             if not len(h):
                 continue
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(base=(size.toxic or 0) / (size.n or 1))
     least = max(MIN_COUNT, -(-(size.bytes or 0) // (1 << BOUND_BITS)))
 
-    counts = rows.where(fold != 0).select("text", "toxic").mapInArrow(_count, "v bigint, w bigint, t bigint, o bigint")
+    counts = rows.where(fold != 0).select("text", "toxic").mapInArrow(frugal(_count), "v bigint, w bigint, t bigint, o bigint")
     pairs = counts.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     zero = F.lit(0).cast("bigint")
     by_word = pairs.groupBy("w").agg(F.sum((F.col("t") > 0).cast("bigint")).alias("ct"), F.sum((F.col("o") > 0).cast("bigint")).alias("co"), F.count("*").alias("cb"), F.sum(F.col("t") + F.col("o")).alias("n"))
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     share = min(1.0, CALIBRATION_ROWS / max(size.kept_out, 1))
     kept = rows.where((fold == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1)))
-    measured = kept.select("text", "toxic").mapInArrow(_measure(docs.sparkSession.sparkContext.broadcast(model)), "diff double, n bigint, toxic int").toPandas()
+    measured = kept.select("text", "toxic").mapInArrow(frugal(_measure(docs.sparkSession.sparkContext.broadcast(model))), "diff double, n bigint, toxic int").toPandas()
     if len(measured):
         model.fit(measured["diff"].to_numpy(), measured.n.to_numpy(), measured.toxic.to_numpy().astype(float))
     return model
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(diff, n), pa.float64())], names=[*fields, "score"])
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(frugal(run), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
