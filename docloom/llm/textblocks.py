@@ -89,8 +89,8 @@ def words(offsets: np.ndarray, data: np.ndarray, ends_word: np.ndarray = SPACE)
 
 def _prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(base, len(values)), out=total[1:])
-    return total
+    np.multiply(values, _powers(base, len(values)), out=total[1:])
+    return np.cumsum(total, out=total)
 
 
 def _spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -99,7 +99,10 @@ def _spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
     """64-bit hashes of the words of one block that start and end there, for each array of ends."""
-    total = _prefix_sums(data.astype(np.uint64) + np.uint64(1), _R)
+    values = data.astype(np.uint64)
+    values += np.uint64(1)
+    total = _prefix_sums(values, _R)
+    del values
     return [mix(_spans(total, starts, e, _R) + (e - starts).astype(np.uint64) * np.uint64(_S)) for e in ends]
 
 
