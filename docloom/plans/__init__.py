@@ -240,7 +240,7 @@ def a23(spark, sf):
     return table(spark, sf, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query("a12_mean_vectors", "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i::INT AS "at", round(avg(v), 6) AS mean FROM x GROUP BY ALL")
+@query("a12_mean_vectors", "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i::INT AS \"at\", round(avg(v), 6) AS mean FROM x GROUP BY ALL")
 def a12(spark, sf):
     x = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("at", "v"))
     return x.groupBy("label", (F.col("at") + 1).alias("at")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
@@ -319,7 +319,7 @@ def s07(spark, sf):
     return R.log_rows(table(spark, sf, "events"), F.col("event_type"), F.when(F.col("value") > 50, "ok"), F.repeat("props", F.lit(25)))
 
 
-@query("s17_paragraphs", "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS i FROM documents) SELECT doc_id, i::INT AS "at", trim(p) AS paragraph FROM p WHERE trim(p) <> ''")
+@query("s17_paragraphs", "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS i FROM documents) SELECT doc_id, i::INT AS \"at\", trim(p) AS paragraph FROM p WHERE trim(p) <> ''")
 def s17(spark, sf):
     return markdown_paragraphs(table(spark, sf, "documents"))
 
