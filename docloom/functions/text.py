@@ -48,7 +48,7 @@ def noise_score(text: Column) -> Column:
     chars = F.greatest(F.char_length(text), F.lit(1))
     lines = F.greatest(F.regexp_count(text, F.lit("\n")), F.lit(1))
     found = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
-    unique = F.when(F.size(found) > 0, F.size(F.array_distinct(found)) / F.size(found)).otherwise(0.0)
+    unique = F.coalesce(F.try_divide(F.size(F.array_distinct(found)), F.size(found)), F.lit(0.0))
     score = 0.4 * F.regexp_count(text, F.lit(r"[^\x00-\x7F]")) / chars + 0.2 * F.regexp_count(text, F.lit("-\n")) / lines + 0.2 * F.regexp_count(text, F.lit(NOISE_SYMBOLS)) / chars + 0.2 * (1 - unique)
     return F.least(F.lit(1.0), score)
 
