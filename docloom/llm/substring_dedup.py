@@ -39,8 +39,8 @@ SHARD_BYTES = 1 << 24
 MIN_SHARDS = 32
 #: The first batch of a one-shot run, as a share of the documents.
 FIRST_BATCH = 0.125
-#: Claims are sent to every executor up to so many documents, else joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Claims are sent to every executor up to so many rows and array entries (about 40 bytes each), else joined by a shuffle.
+BROADCAST_ENTRIES = 3_000_000
 _ROWS = "shard int, kind int, block bigint, payload binary"
 _WINDOWS, _META, _RUN, _COPIES = range(4)
 
@@ -230,8 +230,10 @@ class SubstringIndex:
         return claims
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _maybe_broadcast(df: DataFrame, array: str | None = None) -> DataFrame:
+    entries = F.sum(F.size(array)) if array else F.lit(0)
+    size = df.agg((F.count("*") + F.coalesce(entries, F.lit(0))).alias("n")).first().n
+    return F.broadcast(df) if size <= BROADCAST_ENTRIES else df
 
 
 def _claim_texts(size: int):
@@ -274,7 +276,7 @@ def _verified(size: int):
 def verify(docs: DataFrame, claims: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, key, spans) of the claims that hold by the words themselves; spans are (start, n) in windows."""
     by_doc = claims.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "source")).alias("claims"))
-    by_doc = _maybe_broadcast(materialize(by_doc, "claims-by-document"))
+    by_doc = _maybe_broadcast(materialize(by_doc, "claims-by-document"), "claims")
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     texts = keyed.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "claims").mapInArrow(frugal(_claim_texts(size)), "doc_id bigint, key bigint, start int, n int, source bigint, claim string")
     wanted = _maybe_broadcast(claims.select(F.col("source").alias("doc_id")).distinct())
@@ -313,7 +315,7 @@ def _cut(size: int, at_text: int, at_spans: int):
 
 def remove_copies(docs: DataFrame, claims: DataFrame, size: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space)."""
-    spans = _maybe_broadcast(verify(docs, claims, size))
+    spans = _maybe_broadcast(verify(docs, claims, size), "spans")
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     own = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept", "_spans")]
     joined = docs.select(*(f.name for f in own)).join(spans, (F.col("doc_id").cast("bigint") == F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_doc", "_key")
