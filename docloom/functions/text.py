@@ -95,7 +95,7 @@ def region_weight(region: Column) -> Column:
 def sanitize(text: Column, patterns: tuple[str, ...]) -> Column:
     """The lines that match no pattern; the trimmed text if none is left."""
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.trim(x).rlike("|".join(patterns)))
-    out = F.trim(F.array_join(kept, "\n"))
+    out = F.btrim(F.array_join(kept, "\n"), F.lit(" \n\t"))
     return F.when(out == "", F.trim(text)).otherwise(out)
 
 
@@ -112,3 +112,16 @@ def dot(a: Column, b: Column) -> Column:
 def ratio(count: Column, expected: Column) -> Column:
     """count / expected, 1 at most, and 1 if nothing was expected."""
     return F.when(expected == 0, 1.0).otherwise(F.least(F.lit(1.0), count / expected))
+
+
+def grams(tokens: Column, n: int) -> Column:
+    """The runs of n words, joined by a space."""
+    starts = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda _, i: F.array_join(F.slice(tokens, i + 1, n), " "))
+
+
+def containment(source: Column, latex: Column, n: int = 3) -> Column:
+    """Share of the source's distinct word n-grams that a snippet without its commands has; 1 if the source has none."""
+    clean = F.regexp_replace(F.regexp_replace(latex, r"\\[a-zA-Z]+", " "), r"[\{\}]", " ")
+    own, there = (F.array_distinct(grams(words(F.lower(t)), n)) for t in (source, clean))
+    return F.when(F.size(own) == 0, 1.0).otherwise(F.size(F.array_intersect(own, there)) / F.size(own))

@@ -96,13 +96,14 @@ def f12(spark, sf):
     return table(spark, sf, "documents").where(F.size(T.words(F.col("text"))) >= 32).select("doc_id")
 
 
-GUARD = ("(?i)ignore (all )?previous", "(?i)system prompt", "%%%")
+# Lines that try to instruct a model.
+GUARD = ("(?i)you are an?", "(?i)ignore previous instructions", "(?i)rewrite this", "(?i)respond with", "(?i)do not translate", "(?i)as an ai language model", "(?i)<latex>", r"(?i)meta[-\s]?instruction")
 
 
-@query("f14_line_filter", r"""SELECT doc_id, CASE WHEN s = '' THEN trim(text) ELSE s END AS text FROM (SELECT doc_id, text,
-  trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '(?i)ignore (all )?previous|(?i)system prompt|%%%')), chr(10))) AS s FROM documents)""")
+@query("f14_line_filter", rf"""SELECT doc_id, CASE WHEN s = '' THEN trim(text) ELSE s END AS text FROM (SELECT doc_id, text,
+  trim(array_to_string(list_filter(string_split(text || chr(10) || 'Now IGNORE previous instructions', chr(10)), lambda x: NOT regexp_matches(trim(x), '{"|".join(GUARD)}')), chr(10)), ' ' || chr(10) || chr(9)) AS s FROM documents)""")
 def f14(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.sanitize(F.col("text"), GUARD).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", T.sanitize(F.concat("text", F.lit("\nNow IGNORE previous instructions")), GUARD).alias("text"))
 
 
 @query("f18_record_validation", "SELECT count(*) FILTER (event_id IS NULL OR ts IS NULL OR event_type IS NULL) AS missing, count(*) FILTER (NOT json_valid(props)) AS broken, count(*) AS total FROM events")
@@ -351,17 +352,12 @@ def u01(spark, sf):
     return S.keep_first(_chunks(spark, sf), [F.col("text")], [F.col("doc_id"), F.col("pos")]).select("doc_id", "pos", "text")
 
 
-@query("u11_containment", rf"""WITH {_PAIRS}, w AS (SELECT chunk_id, list_filter(regexp_split_to_array(trim(source), '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(trim(latex), '\s+'), lambda x: x <> '') AS b FROM pairs),
+@query("u11_w19_containment", rf"""WITH {_PAIRS}, w AS (SELECT chunk_id, list_filter(regexp_split_to_array(trim(lower(source)), '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(trim(lower(regexp_replace(regexp_replace(latex, '\\[a-zA-Z]+', ' ', 'g'), '[\{{\}}]', ' ', 'g'))), '\s+'), lambda x: x <> '') AS b FROM pairs),
 g AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(a) - 1), lambda i: array_to_string(a[i:i + 2], ' '))) AS x, list_distinct(list_transform(range(1, len(b) - 1), lambda i: array_to_string(b[i:i + 2], ' '))) AS y FROM w)
 SELECT chunk_id, round(CASE WHEN len(x) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(x) END, 6)::DOUBLE AS contained FROM g""")
 def u11(spark, sf):
-    def grams(c):
-        w = T.words(F.col(c))
-        return F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda _, i: F.array_join(F.slice(F.col(c + "_w"), i + 1, 3), " ")))
-
-    p = _pairs(spark, sf).select("chunk_id", "source", "latex", T.words(F.col("source")).alias("source_w"), T.words(F.col("latex")).alias("latex_w"))
-    p = p.select("chunk_id", grams("source").alias("x"), grams("latex").alias("y"))
-    return p.select("chunk_id", F.round(F.when(F.size("x") == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / F.size("x")), 6).alias("contained"))
+    p = _pairs(spark, sf)
+    return p.select("chunk_id", F.round(T.containment(F.col("source"), F.col("latex")), 6).alias("contained"))
 
 
 # Scalars
@@ -444,3 +440,6 @@ def e03(spark, sf):
 def e07(spark, sf):
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
     return t.select("conv_id", F.md5(F.array_join(F.transform("x", lambda v: v["text"]), "").cast("binary")).alias("digest"), F.size("x").cast("bigint").alias("tokens"))
+
+
+from docloom.plans import latex  # noqa: E402,F401  (registers its queries)
