@@ -442,4 +442,4 @@ def e07(spark, sf):
     return t.select("conv_id", F.md5(F.array_join(F.transform("x", lambda v: v["text"]), "").cast("binary")).alias("digest"), F.size("x").cast("bigint").alias("tokens"))
 
 
-from docloom.plans import latex  # noqa: E402,F401  (registers its queries)
+from docloom.plans import fusion, latex  # noqa: E402,F401  (register their queries)
