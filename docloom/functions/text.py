@@ -125,3 +125,72 @@ def containment(source: Column, latex: Column, n: int = 3) -> Column:
     clean = F.regexp_replace(F.regexp_replace(latex, r"\\[a-zA-Z]+", " "), r"[\{\}]", " ")
     own, there = (F.array_distinct(grams(words(F.lower(t)), n)) for t in (source, clean))
     return F.when(F.size(own) == 0, 1.0).otherwise(F.size(F.array_intersect(own, there)) / F.size(own))
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+
+
+def region(text: Column) -> Column:
+    """The class of a whole text: a table or formula anywhere, a list if half its lines are items, else by its first line."""
+    lines = _lines(text)
+    items = F.size(F.filter(lines, lambda x: F.trim(x).rlike(LIST_BULLET)))
+    first = F.coalesce(F.trim(F.get(lines, F.lit(0))), F.lit(""))
+    return (
+        F.when(F.exists(lines, lambda x: x.rlike(TABLE_BORDER)), "table")
+        .when(items >= F.greatest(F.lit(1), F.floor(F.size(lines) / 2)), "list")
+        .when(text.rlike(FORMULA), "formula")
+        .when(header_level(first) > 0, "heading")
+        .otherwise("text")
+    )
+
+
+def list_depth(text: Column) -> Column:
+    """The deepest item's level, by two blanks of indent each."""
+    items = F.filter(_lines(text), lambda x: F.trim(x).rlike(LIST_BULLET))
+    depth = F.transform(items, lambda x: F.floor((F.char_length(x) - F.char_length(F.ltrim(x))) / 2).cast("int") + 1)
+    return F.greatest(F.coalesce(F.array_max(depth), F.lit(1)), F.lit(1))
+
+
+def table_rows(text: Column) -> Column:
+    """Lines with a pipe and a cell that isn't blank."""
+    return F.size(F.filter(_lines(text), lambda x: F.contains(x, F.lit("|")) & (F.trim(F.replace(x, F.lit("|"), F.lit(""))) != "")))
+
+
+def block_type(text: Column, kind: Column, level: Column) -> Column:
+    """The plan's type of a chunk from its region, header level and first line."""
+    capitals = (F.upper(text) == text) & (F.lower(text) != text) & (F.size(words(text)) <= 8)
+    return (
+        F.when(kind.isin("question", "figure", "table", "list"), kind)
+        .when(kind == "formula", "equation")
+        .when((level > 0) | text.rlike(r"(?i)^(chapter|section|appendix|part|lesson)([^A-Za-z0-9_\x{80}-\x{10FFFF}]|$)") | capitals, "section")
+        .when(text.rlike(r"=|\\sum|\\int|\\frac"), "equation")
+        .otherwise("text")
+    )
+
+
+def refined_type(raw: Column, levelled: Column) -> Column:
+    """A layout element's class from its raw type's name."""
+    has = lambda *s: raw.rlike("|".join(s))
+    return F.when(has("table"), "table").when(has("figure", "image", "img"), "figure").when(has("equation", "formula", "math"), "equation").when(has("heading") | levelled, "heading").otherwise("text")
+
+
+def ambiguous(text: Column) -> Column:
+    """Whether glyphs occur that are easily taken for others (S and 5, l and 1, O and 0)."""
+    edge = r"[^\p{L}\p{N}_]"
+    return text.rlike(rf"(?i)((^|{edge})[S5]0[B8]|(^|{edge})SOB($|{edge})|[Il1]{{2,}}|0O|O0)")
+
+
+def prompt_echo(text: Column) -> Column:
+    """Whether two markers of a prompt occur."""
+    low = F.lower(text)
+    return sum((F.contains(low, F.lit(m)).cast("int") for m in ("style exemplars", "respond with:", "<<<source")), F.lit(0)) >= 2
+
+
+def plain_prose(text: Column) -> Column:
+    """Whether an equation's body is prose: fenced, labelled lines, or letters without commands and operators."""
+    letters = lambda x: F.regexp_count(x, F.lit(r"\p{L}"))
+    lines = _lines(text)
+    labelled = (F.size(lines) >= 3) & (F.size(F.filter(lines, lambda x: letters(x) >= 4)) >= 2) & F.exists(lines, lambda x: F.contains(x, F.lit(":")))
+    sparse = (letters(text) > 20) & (F.regexp_count(text, F.lit(r"\\")) <= 1) & (F.regexp_count(text, F.lit(r"[=+\-/*_^]")) < letters(text) / 4)
+    return (text != "") & (F.contains(text, F.lit("```")) | text.startswith("%") | labelled | sparse)
