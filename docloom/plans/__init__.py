@@ -45,7 +45,7 @@ def query(name: str, sql: str = "", chunked: bool = False):
     def put(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = f"WITH {CHUNKS}{',' if sql.lstrip().startswith('WITH') else ''} {sql.lstrip().removeprefix('WITH') if chunked else sql}" if chunked else sql
+            ORACLES[name] = f"WITH RECURSIVE {CHUNKS}{',' if sql.lstrip().startswith('WITH') else ''} {sql.lstrip().removeprefix('WITH') if chunked else sql}" if chunked else sql
         return f
 
     return put
@@ -100,8 +100,8 @@ def f12(spark, sf):
 GUARD = ("(?i)you are an?", "(?i)ignore previous instructions", "(?i)rewrite this", "(?i)respond with", "(?i)do not translate", "(?i)as an ai language model", "(?i)<latex>", r"(?i)meta[-\s]?instruction")
 
 
-@query("f14_line_filter", rf"""SELECT doc_id, CASE WHEN s = '' THEN trim(text) ELSE s END AS text FROM (SELECT doc_id, text,
-  trim(array_to_string(list_filter(string_split(text || chr(10) || 'Now IGNORE previous instructions', chr(10)), lambda x: NOT regexp_matches(trim(x), '{"|".join(GUARD)}')), chr(10)), ' ' || chr(10) || chr(9)) AS s FROM documents)""")
+@query("f14_line_filter", rf"""SELECT doc_id, CASE WHEN s = '' THEN trim(text) ELSE s END AS text FROM (SELECT doc_id, text, trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '{"|".join(GUARD)}')), chr(10)), ' ' || chr(10) || chr(9)) AS s
+  FROM (SELECT doc_id, text || chr(10) || 'Now IGNORE previous instructions' AS text FROM documents))""")
 def f14(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.sanitize(F.concat("text", F.lit("\nNow IGNORE previous instructions")), GUARD).alias("text"))
 
@@ -141,10 +141,11 @@ def j06(spark, sf):
 
 
 @query("j08_numbered_references", r"""WITH o AS (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal FROM chunks WHERE region_type = 'heading'),
-f AS (SELECT DISTINCT doc_id, chunk_id AS source, unnest(regexp_extract_all(lower(text), 'section\s+([0-9]{1,6})', 1))::INT AS ordinal FROM chunks)
+f AS (SELECT DISTINCT doc_id, chunk_id AS source, unnest(regexp_extract_all(lower(text || ' see Section ' || (pos % 4 + 1)), 'section\s+([0-9]{1,6})', 1))::INT AS ordinal FROM chunks)
 SELECT source, f.ordinal, o.chunk_id AS target FROM f LEFT JOIN o ON o.doc_id = f.doc_id AND o.ordinal = f.ordinal""", True)
 def j08(spark, sf):
-    return C.numbered_references(_chunks(spark, sf), "heading", "section")
+    text = F.concat("text", F.lit(" see Section "), F.col("pos") % 4 + 1)
+    return C.numbered_references(_chunks(spark, sf).withColumn("text", text), "heading", "section")
 
 
 @query("j09_w07_u05_related_chunks", """WITH t AS (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS s FROM chunks),
@@ -442,4 +443,4 @@ def e07(spark, sf):
     return t.select("conv_id", F.md5(F.array_join(F.transform("x", lambda v: v["text"]), "").cast("binary")).alias("digest"), F.size("x").cast("bigint").alias("tokens"))
 
 
-from docloom.plans import fusion, graph, latex  # noqa: E402,F401  (register their queries)
+from docloom.plans import fusion, graph, latex, layout  # noqa: E402,F401  (register their queries)
