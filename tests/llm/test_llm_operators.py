@@ -149,6 +149,42 @@ def test_simhash_by_hand(docs, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_similar_documents_by_brute_force(spark, docs, odd, none):
+    sets = {}
+    for r in docs.collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    group = {i: i for i in sets}
+    pairs = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in group:
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_documents(docs).collect()} == group
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kept = pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
+    found = sorted((r.doc_id or -1, r.component_id) for r in near_dedup.similar_documents(odd).collect())
+    assert len(found) == 9 and (2, 1) in found and (5, 1) in found and found.count((4, 3)) == 2
+    assert near_dedup.similar_documents(none).count() == 0
+
+
+def test_a_bucket_links_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, (3, 60), dtype=np.uint64)
+    sets = []
+    for b in base:
+        for _ in range(25):
+            s = b.copy()
+            s[rng.choice(60, 3, False)] = rng.integers(0, 1 << 60, 3, dtype=np.uint64)
+            sets.append(np.unique(s))
+    a, b = near_dedup.similar_links(np.arange(len(sets)), sets)
+    group = list(range(len(sets)))
+    for _ in sets:
+        for x, y in zip(a.tolist(), b.tolist()):
+            group[x] = group[y] = min(group[x], group[y])
+    assert group == [k // 25 * 25 for k in range(75)] and len(a) == 72
+
+
 def test_dense_and_sparse_blocks_link_alike():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
