@@ -11,9 +11,10 @@ fitted on labelled documents kept out of the counts, of its length-normalised
 log-likelihood difference and its length.
 
 Counts come from every labelled document allowed for learning, by two shuffled
-aggregations. What is sent to the executors is bounded: an expression is kept if it
-occurs at least ``max(MIN_COUNT, bytes / 2^BOUND_BITS)`` times, and as there are at most
-``bytes / 2`` words, at most 2^(BOUND_BITS - 1) expressions of each order can.
+aggregations. An expression is kept if it occurs at least ``MIN_COUNT`` times, whatever
+the size of the input. The model is cut into parts of about ``PART_ENTRIES`` entries by
+the stems of four bytes, which hold all that decides on a word; each is built, sent and
+looked up by itself, by the words that belong to it.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from .textblocks import LOWER, NON_WORD, blocks, mix, utf8, word_hashes, words
 
 DISCOUNT = 0.75
 MIN_COUNT = 5
-BOUND_BITS = 22
+#: Entries of one part of the model; words' bytes that a task scores together when there are more parts.
+PART_ENTRIES = 2_000_000
+GROUP_BYTES = 1 << 24
 #: Of the learning rows, one in CALIBRATION_PART is kept out of the counts; at most about CALIBRATION_ROWS of these fit the logistic function.
 CALIBRATION_PART = 4
 CALIBRATION_ROWS = 20_000
@@ -85,33 +88,76 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[at].view(np.int64), h[at].view(np.int64), t, o)], names=["v", "w", "t", "o"])
 
 
+STEM_BITS = 28
+
+
+def part_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The part of each word's key: ranges of its stem of four bytes."""
+    return ((hashes >> np.uint64(64 - STEM_BITS)) * np.uint64(n) >> np.uint64(STEM_BITS)).astype(np.int64)
+
+
 @dataclass
-class Model:
-    """Sorted keys of frequent words and bigrams with their log-likelihood differences, and the logistic function."""
+class Part:
+    """Sorted keys of words and bigrams with their log-likelihood differences."""
 
     levels: list = field(default_factory=list)  # of (bits that a stem's key leaves out, keys, differences), shortest stem first
     pair: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     pair_diff: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    base: float = 0.0
-    scale: np.ndarray = field(default_factory=lambda: np.ones(4))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
 
-    def differences(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each document of a block: mean difference of log-likelihoods by word, and the number of words."""
-        h, first = _tokens(offsets, data)
+    def differences(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The difference of each word after the word before it, drawn towards zero."""
         each = np.zeros(len(h))
         for shift, keys, diffs in self.levels:
             at, hit = _find(keys, h >> np.uint64(shift))
             each[hit] = diffs[at[hit]]
         if len(self.pair):
-            key = _pair_key(_pairs(h, first), h)
-            at, hit = _find(self.pair, key)
+            at, hit = _find(self.pair, _pair_key(before, h))
             each[hit] = self.pair_diff[at[hit]]
-        each = np.sign(each) * np.maximum(np.abs(each) - SLACK, 0)
-        n = np.diff(first)
-        total = np.zeros(len(h) + 1)
-        np.cumsum(each, out=total[1:])
-        return (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1), n
+        return np.sign(each) * np.maximum(np.abs(each) - SLACK, 0)
+
+
+@dataclass
+class Model:
+    """The parts as broadcasts, and the logistic function."""
+
+    parts: list = field(default_factory=list)
+    base: float = 0.0
+    scale: np.ndarray = field(default_factory=lambda: np.ones(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+
+    def differences(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each document of (offsets, bytes) pairs: mean difference of log-likelihoods by word, and the number of words.
+
+        Of several parts one at a time is held, and meets the words that belong to it.
+        """
+        n_parts, made = len(self.parts), []
+        for off, data in texts:
+            for i, j in blocks(off):
+                h, first = _tokens(off[i : j + 1] - off[i], data[off[i] : off[j]])
+                order = np.argsort(part_of(h, n_parts), kind="stable") if n_parts > 1 else np.arange(len(h))
+                cuts = np.searchsorted(part_of(h[order], n_parts), np.arange(n_parts + 1)) if n_parts > 1 else [0, len(h)]
+                before = _pairs(h, first)
+                made.append((h[order], before[order], order, cuts, first, np.zeros(len(h))))
+        for k, part in enumerate(self.parts):
+            value = part.value
+            for h, before, order, cuts, _, each in made:
+                x, y = cuts[k], cuts[k + 1]
+                each[order[x:y]] = value.differences(h[x:y], before[x:y])
+            if n_parts > 1:
+                del value
+                part.__dict__.pop("_value", None)  # read again from the executor's file
+        found, at = [], 0
+        for off, _ in texts:
+            got = []
+            for _ in blocks(off):
+                *_, first, each = made[at]
+                at += 1
+                n = np.diff(first)
+                total = np.zeros(len(each) + 1)
+                np.cumsum(each, out=total[1:])
+                got.append(((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1), n))
+            found.append(tuple(np.concatenate(x) if got else np.zeros(0) for x in (zip(*got, strict=True) if got else ((), ()))))
+        return found
 
     def features(self, diff: np.ndarray, n: np.ndarray) -> np.ndarray:
         root = np.sqrt(np.maximum(n, 1))
@@ -143,9 +189,9 @@ def _find(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == of if len(keys) else np.zeros(len(of), bool)
 
 
-def _kneser_ney(words_: list[pd.DataFrame], pairs: pd.DataFrame, total: pd.Series) -> Model:
-    """The bounded model from counts of stems of four and five bytes, words, and bigrams."""
-    d, model = DISCOUNT, Model()
+def _kneser_ney(words_: list[pd.DataFrame], pairs: pd.DataFrame, total: pd.Series) -> Part:
+    """A part from counts of its stems of four and five bytes, words, and bigrams (with those of the word before)."""
+    d, model = DISCOUNT, Part()
     backoff = min(max(d * total.vocabulary / max(total.types, 1), 1e-3), 0.5)
     below = None
     for shift, w in zip((36, 20, 0), words_, strict=True):
@@ -165,12 +211,11 @@ def _kneser_ney(words_: list[pd.DataFrame], pairs: pd.DataFrame, total: pd.Serie
     if len(pairs):
         key, _, lower, _ = below
         v, x = (pairs[c].to_numpy().view(np.uint64) for c in "vw")
-        (iv, hv), (iw, hw) = _find(key, v), _find(key, x)
-        use = hv & hw
-        pairs, v, x, iv, iw, p = pairs[use], v[use], x[use], iv[use], iw[use], {}
+        iw, use = _find(key, x)
+        pairs, v, x, iw, p = pairs[use], v[use], x[use], iw[use], {}
         for k in "to":
-            n = np.maximum(w["n" + k].to_numpy()[iv], pairs["c" + k].to_numpy())
-            fans = np.minimum(w["f" + k].to_numpy()[iv], n)
+            n = np.maximum(pairs["n" + k].to_numpy(), pairs["c" + k].to_numpy())
+            fans = np.minimum(pairs["f" + k].to_numpy(), n)
             p[k] = np.where(n > 0, (np.maximum(pairs["c" + k].to_numpy() - d, 0) + d * np.maximum(fans, 0.1) * lower[k][iw]) / np.maximum(n, 1), lower[k][iw])
         key = _pair_key(v, x)
         order = np.argsort(key)
@@ -186,58 +231,71 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks) if small else marks, "doc_id")
 
 
+def _parts(table: DataFrame) -> list:
+    """The model's parts as broadcasts; the driver holds the counts of one at a time."""
+    by_word = table.where("kind = 1")
+    total = by_word.agg(F.sum("cb").alias("types"), F.sum("ct").alias("types_t"), F.sum("co").alias("types_o"), F.count("*").alias("vocabulary")).toPandas().fillna(0).iloc[0]
+    entries = table.where(f"kind = 2 or n >= {MIN_COUNT}").count()
+    n, out = max(1, -(-entries // PART_ENTRIES)), []
+    stem = F.shiftrightunsigned("w", 64 - STEM_BITS)
+    for k in range(n):
+        own = table.where(F.floor(stem * n / (1 << STEM_BITS)) == k) if n > 1 else table
+        levels = []
+        for shift in (36, 20, 0):
+            stems = own.where("kind = 1").groupBy(F.shiftrightunsigned("w", shift).alias("w")).agg(*(F.sum(c).alias(c) for c in ("ct", "co", "cb", "n")))
+            levels.append(stems.where(F.col("n") >= MIN_COUNT).toPandas())
+        pairs = own.where("kind = 2").select("v", "w", "ct", "co", "nt", "no", "ft", "fo").toPandas()
+        out.append(table.sparkSession.sparkContext.broadcast(_kneser_ney(levels, pairs, total)))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Count, bound, and calibrate. With no toxic or no ordinary label, every score is the share of toxic ones, 0.5 at most."""
     tune(docs.sparkSession)
     rows = learning_rows(docs, labels)
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_PART))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum((fold == 0).cast("int")).alias("kept_out")).first()
+    size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum((fold == 0).cast("int")).alias("kept_out")).first()
     if not size.n or not 0 < size.toxic < size.n:
         return Model(base=(size.toxic or 0) / (size.n or 1))
-    least = max(MIN_COUNT, -(-(size.bytes or 0) // (1 << BOUND_BITS)))
-
     counts = rows.where(fold != 0).select("text", "toxic").mapInArrow(frugal(_count), "v bigint, w bigint, t bigint, o bigint")
     pairs = counts.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     zero = F.lit(0).cast("bigint")
     by_word = pairs.groupBy("w").agg(F.sum((F.col("t") > 0).cast("bigint")).alias("ct"), F.sum((F.col("o") > 0).cast("bigint")).alias("co"), F.count("*").alias("cb"), F.sum(F.col("t") + F.col("o")).alias("n"))
     by_context = pairs.groupBy("v").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.sum((F.col("t") > 0).cast("bigint")).alias("ft"), F.sum((F.col("o") > 0).cast("bigint")).alias("fo"))
-    often = pairs.where(F.col("t") + F.col("o") >= least)
+    often = pairs.where((F.col("t") + F.col("o") >= MIN_COUNT) & (F.col("v") != 0)).join(by_context, "v")
     parts = [
         by_word.select(F.lit(1).alias("kind"), zero.alias("v"), "w", "ct", "co", "cb", "n", *(zero.alias(c) for c in ("nt", "no", "ft", "fo"))),
-        often.select(F.lit(2).alias("kind"), "v", "w", F.col("t").alias("ct"), F.col("o").alias("co"), zero.alias("cb"), (F.col("t") + F.col("o")).alias("n"), *(zero.alias(c) for c in ("nt", "no", "ft", "fo"))),
-        by_context.where(F.col("nt") + F.col("no") >= least).select(F.lit(3).alias("kind"), "v", zero.alias("w"), zero.alias("ct"), zero.alias("co"), zero.alias("cb"), (F.col("nt") + F.col("no")).alias("n"), "nt", "no", "ft", "fo"),
+        often.select(F.lit(2).alias("kind"), "v", "w", F.col("t").alias("ct"), F.col("o").alias("co"), zero.alias("cb"), (F.col("t") + F.col("o")).alias("n"), "nt", "no", "ft", "fo"),
     ]
-    table = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "kneser-ney")
-    by_kind = table.where("kind = 1")
-    total = by_kind.agg(F.sum("cb").alias("types"), F.sum("ct").alias("types_t"), F.sum("co").alias("types_o"), F.count("*").alias("vocabulary")).toPandas().fillna(0).iloc[0]
-    levels = []
-    for shift in (36, 20, 0):
-        stems = by_kind.groupBy(F.shiftrightunsigned("w", shift).alias("w")).agg(*(F.sum(c).alias(c) for c in ("ct", "co", "cb", "n")))
-        levels.append(stems.where(F.col("n") >= least).toPandas())
-    found = table.where("kind > 1").toPandas()
-    fans = found[found.kind == 3][["v", "nt", "no", "ft", "fo"]].rename(columns={"v": "w"})
-    levels[-1] = levels[-1].merge(fans, on="w", how="left").fillna(0)
-    model = _kneser_ney(levels, found[found.kind == 2], total)
+    table = materialize(parts[0].unionByName(parts[1]), "kneser-ney")
+    model = Model(_parts(table))
     model.base = size.toxic / size.n
 
     share = min(1.0, CALIBRATION_ROWS / max(size.kept_out, 1))
     kept = rows.where((fold == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1)))
-    measured = kept.select("text", "toxic").mapInArrow(frugal(_measure(docs.sparkSession.sparkContext.broadcast(model))), "diff double, n bigint, toxic int").toPandas()
+    measured = kept.select("text", "toxic").mapInArrow(frugal(_measure(model)), "diff double, n bigint, toxic int").toPandas()
     if len(measured):
         model.fit(measured["diff"].to_numpy(), measured.n.to_numpy(), measured.toxic.to_numpy().astype(float))
     return model
 
 
-def _each(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    off, data = utf8(column)
-    got = [model.differences(off[i : j + 1] - off[i], data[off[i] : off[j]]) for i, j in blocks(off)]
-    return tuple(np.concatenate(x) if got else np.zeros(0) for x in (zip(*got, strict=True) if got else ((), ())))
+def _grouped(model: Model, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
+    """Each batch with its documents' differences and numbers of words; of several parts each is read once for a group of batches."""
+    held, texts, size = [], [], 0
+    for b in batches:
+        held.append(b)
+        texts.append(utf8(b.column(column).cast(pa.string())))
+        size += len(texts[-1][1])
+        if len(model.parts) < 2 or size >= GROUP_BYTES:
+            yield from zip(held, model.differences(texts), strict=True)
+            held, texts, size = [], [], 0
+    if held:
+        yield from zip(held, model.differences(texts), strict=True)
 
 
-def _measure(shared):
+def _measure(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            diff, n = _each(shared.value, b.column(0))
+        for b, (diff, n) in _grouped(model, batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array(diff, pa.float64()), pa.array(n.astype(np.int64)), b.column(1).cast(pa.int32())], names=["diff", "n", "toxic"])
 
     return run
@@ -249,15 +307,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     A null or empty text, or one without a word, gets the share of toxic labels, 0.5 at most.
     """
     tune(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted")
     fields = docs.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            diff, n = _each(m, b.column(fields.index("text")).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(diff, n), pa.float64())], names=[*fields, "score"])
+        for b, (diff, n) in _grouped(model, batches, fields.index("text")):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(diff, n), pa.float64())], names=[*fields, "score"])
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(frugal(run), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

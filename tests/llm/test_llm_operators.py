@@ -236,6 +236,19 @@ def test_toxicity(spark, docs, odd, none):
     assert toxicity.score(none, empty).count() == 0 and {r.predicted for r in toxicity.score(odd, empty).collect()} == {0}
 
 
+def test_toxicity_keeps_expressions_whatever_the_size(spark, monkeypatch):
+    rows = [(i, "a calm day vile rotter" if i < 18 else f"a calm day {i * i}q {i}z" if i < 300 else "a calm day " * 90_000) for i in range(400)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i < 18)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(made, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(made, model).select("doc_id", "score").collect()}
+    assert min(got[i] for i in range(18)) > 0.5 > max(got[i] for i in range(18, 400))
+    monkeypatch.setattr(toxicity, "PART_ENTRIES", 3)
+    cut = toxicity.train(made, labels)
+    assert len(model.parts) == 1 and len(cut.parts) > 3
+    assert {r.doc_id: r.score for r in toxicity.score(made, cut).select("doc_id", "score").collect()} == pytest.approx(got)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
     grams, n = np.unique(rng.integers(0, 1 << 24, 3000), return_counts=True)
