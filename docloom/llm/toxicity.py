@@ -7,8 +7,9 @@ word backs off to these, and its share of them is counted over both classes. An
 expression too rare to tell the classes apart on any level has the same shared backoff
 probability in both, so it adds nothing to the difference; differences under ``SLACK``
 count as ordinary variation. A document's score is a logistic function,
-fitted on labelled documents kept out of the counts, of its length-normalised
-log-likelihood difference and its length.
+of its length-normalised log-likelihood difference and its length. It is fitted on a fold
+of the labelled documents by a model of the other folds; the model that scores then counts
+all of them.
 
 Counts come from every labelled document allowed for learning, by two shuffled
 aggregations. An expression is kept if it occurs at least ``MIN_COUNT`` times, whatever
@@ -29,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .storage import frugal, materialize, tune
+from .storage import frugal, materialize, release, tune
 from .textblocks import LOWER, NON_WORD, blocks, mix, utf8, word_hashes, words
 
 DISCOUNT = 0.75
 MIN_COUNT = 5
 #: Entries of one part of the model; words' bytes that a task scores together when there are more parts.
-PART_ENTRIES = 2_000_000
+PART_ENTRIES = 200_000
 GROUP_BYTES = 1 << 24
-#: Of the learning rows, one in CALIBRATION_PART is kept out of the counts; at most about CALIBRATION_ROWS of these fit the logistic function.
+#: Of the learning rows, one in CALIBRATION_PART is kept out of the counts of the model that the logistic function is fitted by, on at most about CALIBRATION_ROWS of these.
 CALIBRATION_PART = 4
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
@@ -73,19 +74,21 @@ def _pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigram counts of each block by class."""
+    """Bigram counts of each block by class: of all rows, and of those outside the calibration fold."""
     for b in batches:
         off, data = utf8(b.column(0))
-        label = b.column(1).to_numpy().astype(np.int64)
+        label, rest = b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64)
         for i, j in blocks(off):
             h, first = _tokens(off[i : j + 1] - off[i], data[off[i] : off[j]])
             if not len(h):
                 continue
-            v, toxic = _pairs(h, first), np.repeat(label[i:j], np.diff(first))
+            v, toxic, out = _pairs(h, first), np.repeat(label[i:j], np.diff(first)), np.repeat(rest[i:j], np.diff(first))
             key, at, inv = np.unique(_pair_key(v, h), return_index=True, return_inverse=True)
             t = np.bincount(inv, toxic, len(key)).astype(np.int64)
             o = np.bincount(inv, minlength=len(key)) - t
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[at].view(np.int64), h[at].view(np.int64), t, o)], names=["v", "w", "t", "o"])
+            t1 = np.bincount(inv, toxic * out, len(key)).astype(np.int64)
+            o1 = np.bincount(inv, out, len(key)).astype(np.int64) - t1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[at].view(np.int64), h[at].view(np.int64), t, o, t1, o1)], names=["v", "w", "t", "o", "t1", "o1"])
 
 
 STEM_BITS = 28
@@ -231,11 +234,13 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks) if small else marks, "doc_id")
 
 
-def _parts(table: DataFrame) -> list:
-    """The model's parts as broadcasts; the driver holds the counts of one at a time."""
+def _parts(table: DataFrame, fold: str = "") -> list:
+    """The model's parts as broadcasts, by the counts whose names end in ``fold``; the driver holds those of one at a time."""
+    table = table.select("kind", "v", "w", *(F.col(f"{c}{fold}").alias(c) for c in ("ct", "co", "cb", "n", "nt", "no", "ft", "fo"))).where("n > 0")
     by_word = table.where("kind = 1")
     total = by_word.agg(F.sum("cb").alias("types"), F.sum("ct").alias("types_t"), F.sum("co").alias("types_o"), F.count("*").alias("vocabulary")).toPandas().fillna(0).iloc[0]
-    entries = table.where(f"kind = 2 or n >= {MIN_COUNT}").count()
+    table = table.where(f"kind = 1 or n >= {MIN_COUNT}")
+    entries = table.where(f"n >= {MIN_COUNT}").count()
     n, out = max(1, -(-entries // PART_ENTRIES)), []
     stem = F.shiftrightunsigned("w", 64 - STEM_BITS)
     for k in range(n):
@@ -246,6 +251,9 @@ def _parts(table: DataFrame) -> list:
             levels.append(stems.where(F.col("n") >= MIN_COUNT).toPandas())
         pairs = own.where("kind = 2").select("v", "w", "ct", "co", "nt", "no", "ft", "fo").toPandas()
         out.append(table.sparkSession.sparkContext.broadcast(_kneser_ney(levels, pairs, total)))
+        out[-1].__dict__.pop("_value", None)  # it lies in a file
+        del levels, pairs
+        release()
     return out
 
 
@@ -257,25 +265,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum((fold == 0).cast("int")).alias("kept_out")).first()
     if not size.n or not 0 < size.toxic < size.n:
         return Model(base=(size.toxic or 0) / (size.n or 1))
-    counts = rows.where(fold != 0).select("text", "toxic").mapInArrow(frugal(_count), "v bigint, w bigint, t bigint, o bigint")
-    pairs = counts.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counts = rows.select("text", "toxic", (fold != 0).cast("int").alias("rest")).mapInArrow(frugal(_count), "v bigint, w bigint, t bigint, o bigint, t1 bigint, o1 bigint")
+    pairs = counts.groupBy("v", "w").agg(*(F.sum(c).alias(c) for c in ("t", "o", "t1", "o1")))
     zero = F.lit(0).cast("bigint")
-    by_word = pairs.groupBy("w").agg(F.sum((F.col("t") > 0).cast("bigint")).alias("ct"), F.sum((F.col("o") > 0).cast("bigint")).alias("co"), F.count("*").alias("cb"), F.sum(F.col("t") + F.col("o")).alias("n"))
-    by_context = pairs.groupBy("v").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.sum((F.col("t") > 0).cast("bigint")).alias("ft"), F.sum((F.col("o") > 0).cast("bigint")).alias("fo"))
-    often = pairs.where((F.col("t") + F.col("o") >= MIN_COUNT) & (F.col("v") != 0)).join(by_context, "v")
+    word, context = [], []
+    for k in ("", "1"):
+        t, o = F.col(f"t{k}"), F.col(f"o{k}")
+        word += [F.count_if(t > 0).alias(f"ct{k}"), F.count_if(o > 0).alias(f"co{k}"), F.count_if(t + o > 0).alias(f"cb{k}"), F.sum(t + o).alias(f"n{k}")]
+        context += [F.sum(t).alias(f"nt{k}"), F.sum(o).alias(f"no{k}"), F.count_if(t > 0).alias(f"ft{k}"), F.count_if(o > 0).alias(f"fo{k}")]
+    by_word, by_context = pairs.groupBy("w").agg(*word), pairs.groupBy("v").agg(*context)
+    fans = [f"{c}{k}" for k in ("", "1") for c in ("nt", "no", "ft", "fo")]
+    # Both conditions on v would be pushed below the aggregation, which then isn't shared but done once more.
+    often = pairs.where(F.when(F.col("v") != 0, F.col("t") + F.col("o")) >= MIN_COUNT)
+    often = often.join(by_context.withColumnRenamed("v", "_v"), F.col("v").eqNullSafe(F.col("_v")))
+    own = [x for k in ("", "1") for x in (F.col(f"t{k}").alias(f"ct{k}"), F.col(f"o{k}").alias(f"co{k}"), zero.alias(f"cb{k}"), (F.col(f"t{k}") + F.col(f"o{k}")).alias(f"n{k}"))]
     parts = [
-        by_word.select(F.lit(1).alias("kind"), zero.alias("v"), "w", "ct", "co", "cb", "n", *(zero.alias(c) for c in ("nt", "no", "ft", "fo"))),
-        often.select(F.lit(2).alias("kind"), "v", "w", F.col("t").alias("ct"), F.col("o").alias("co"), zero.alias("cb"), (F.col("t") + F.col("o")).alias("n"), "nt", "no", "ft", "fo"),
+        by_word.select(F.lit(1).alias("kind"), zero.alias("v"), "*", *(zero.alias(c) for c in fans)),
+        often.select(F.lit(2).alias("kind"), "v", "w", *own, *fans),
     ]
     table = materialize(parts[0].unionByName(parts[1]), "kneser-ney")
-    model = Model(_parts(table))
+    model, fitted = Model(_parts(table)), Model(_parts(table, "1"))
     model.base = size.toxic / size.n
 
     share = min(1.0, CALIBRATION_ROWS / max(size.kept_out, 1))
     kept = rows.where((fold == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1)))
-    measured = kept.select("text", "toxic").mapInArrow(frugal(_measure(model)), "diff double, n bigint, toxic int").toPandas()
+    measured = kept.select("text", "toxic").mapInArrow(frugal(_measure(fitted)), "diff double, n bigint, toxic int").toPandas()
     if len(measured):
-        model.fit(measured["diff"].to_numpy(), measured.n.to_numpy(), measured.toxic.to_numpy().astype(float))
+        fitted.fit(measured["diff"].to_numpy(), measured.n.to_numpy(), measured.toxic.to_numpy().astype(float))
+    model.scale, model.weights = fitted.scale, fitted.weights
+    for part in fitted.parts:
+        part.unpersist()
     return model
 
 

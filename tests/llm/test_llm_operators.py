@@ -236,6 +236,19 @@ def test_toxicity(spark, docs, odd, none):
     assert toxicity.score(none, empty).count() == 0 and {r.predicted for r in toxicity.score(odd, empty).collect()} == {0}
 
 
+def test_toxicity_learns_from_every_allowed_document(spark):
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    F = toxicity.F
+    out = {r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").where(F.pmod(F.xxhash64("id"), F.lit(toxicity.CALIBRATION_PART)) == 0).collect()}
+    kept_out = [i for i in ids if i in out]
+    rows = [(i, f"a calm day {i * i}q {i}z", 0) for i in ids] + [(i + 10_000, "a calm day vile rotter", 1) for i in range(60)]
+    rows = [(i, "a calm day wicked grub" if i in kept_out[:40] else t, 1 if i in kept_out[:40] else x) for i, t, x in rows]
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(made.select("doc_id", "text"), made.select("doc_id", "toxic"))
+    key, first = toxicity._tokens(np.array([0, 11]), np.frombuffer(b"wicked grub", np.uint8))
+    assert (model.parts[0].value.differences(key, toxicity._pairs(key, first)) > 0).all()
+
+
 def test_toxicity_keeps_expressions_whatever_the_size(spark, monkeypatch):
     rows = [(i, "a calm day vile rotter" if i < 18 else f"a calm day {i * i}q {i}z" if i < 300 else "a calm day " * 90_000) for i in range(400)]
     made = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
