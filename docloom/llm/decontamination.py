@@ -3,7 +3,10 @@
 A text becomes words and typed placeholders: numbers, units after or before a number, and
 names (capitalised words inside a sentence). Windows of ``WINDOW`` such tokens are hashed
 and joined with those of the benchmark's items, so a question asked again with other
-numbers, units or names still meets its item. A second look, at the documents that cover
+numbers, units or names still meets its item. A capitalised word that may only begin a
+sentence is read both ways, as a word and as a name; a window counts if either reading
+meets. An item shorter than a window, or without a window of enough words, is matched by
+its whole sequence of tokens with their values. A second look, at the documents that cover
 enough of an item only, checks the slots: along one alignment an item's value must always
 become the same value; alignments that break this don't count.
 """
@@ -27,15 +30,21 @@ UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "miles
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words, and placeholders that hold their value: a type (0x01 number, 0x02 unit, 0x03 name), the value, 0x04."""
-    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01\x02\x03\x04", "    ")
+    """Lower-case words, and placeholders that hold their value: a type (0x01 number, 0x02 unit, 0x03 name, 0x05 word or name), the value, 0x04."""
+    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01\x02\x03\x04\x05", "     ")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     numbered = F.regexp_replace(text, rf"(?<=[0-9])(\s?)(%|(?i:{units})(?![\p{{L}}\p{{N}}]))", "\x02$2\x04")
     numbered = F.regexp_replace(numbered, r"([$€£])(?=[0-9])", "\x02$1\x04")
     numbered = F.regexp_replace(numbered, "(?<![\\p{L}\\p{N}\x02])([0-9]+(?:[.,:/][0-9]+)*)", "\x01$1\x04")
     text = F.when(text.rlike("[0-9]"), numbered).otherwise(text)
     text = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll},;] .)\p{L}*)", "\x03$1\x04")
-    return F.regexp_extract_all(F.lower(text), F.lit("[\x01-\x03][^\x04]*\x04|[\\p{L}\\p{N}]+"), F.lit(0))
+    text = F.regexp_replace(text, "(?<![\\p{L}\\p{N}\x01-\x03])(\\p{Lu}\\p{L}*)", "\x05$1\x04")
+    return F.regexp_extract_all(F.lower(text), F.lit("[\x01-\x03\x05][^\x04]*\x04|[\\p{L}\\p{N}]+"), F.lit(0))
+
+
+def _read(toks: Column, names: bool) -> Column:
+    """The tokens with each word or name read as a name, or as a word."""
+    return F.transform(toks, lambda t: F.when(t.startswith("\x05"), F.concat(F.lit("\x03"), F.substring(t, 2, 1 << 30)) if names else F.translate(t, "\x04\x05", "")).otherwise(t))
 
 
 def _template(token: Column) -> Column:
@@ -60,6 +69,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _windows(rows: DataFrame, window: int, *keep: str) -> DataFrame:
     """(*keep, at, hash, slots) of each window; slots are its placeholders with their values, null for words."""
+    both = F.array(*(F.struct(F.lit(n).alias("names"), _read(F.col("toks"), n).alias("toks")) for n in (False, True)))
+    rows = rows.select(*keep, F.explode(both).alias("r")).select(*keep, "r.names", "r.toks")
     rows = _with_hashes(rows, window)
     slots = lambda i: F.transform(F.slice("toks", i + 1, window), lambda t: F.when(t < "\x04", t))
     each = F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), i.alias("at"), slots(i).alias("slots")))
@@ -73,10 +84,41 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, min_words: int = MI
     each = _windows(toks, window, "item_id").where("hash is not null").withColumnRenamed("at", "place")
     words = F.size(F.filter("slots", lambda s: s.isNull()))
     each = each.where(words >= F.least(F.lit(min_words), F.size("slots")))
+    each = each.join(_short(toks, window, min_words), "item_id", "left_anti")
     n = each.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
     return each.join(n, "item_id")
 
 
+def _values(toks: Column) -> Column:
+    """The tokens without their types."""
+    return F.transform(toks, lambda t: F.translate(t, "\x01\x02\x03\x04\x05", ""))
+
+
+def _short(toks: DataFrame, window: int, min_words: int) -> DataFrame:
+    """(item_id, toks) of items that have tokens, but fewer than a window or no window of enough words."""
+    words = lambda i: F.size(F.filter(F.slice("_words", i + 1, window), lambda t: t >= "\x04"))
+    rows = toks.where(F.size("toks") > 0).withColumn("_words", _read(F.col("toks"), False))
+    telling = F.exists(F.sequence(F.lit(0), F.greatest(F.size("toks") - window, F.lit(0))), lambda i: words(i) >= min_words)
+    return rows.where((F.size("toks") < window) | ~telling).select("item_id", "toks")
+
+
+def _whole_matches(docs: DataFrame, benchmark: DataFrame, window: int, min_words: int = MIN_WORDS) -> DataFrame | None:
+    """(doc_id, key, item_id) where a document holds all tokens of a short item in a row, with their values; None without short items."""
+    toks = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("toks"))
+    short = _short(toks, window, min_words).select("item_id", F.size("toks").alias("size"), F.xxhash64(_values(F.col("toks"))).alias("hash"))
+    short = materialize(short, "short-items")
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())
+    if not sizes:
+        return None
+    rows = docs.select("doc_id", "key", tokens(F.col("text")).alias("toks")).withColumn("toks", _values(F.col("toks")))
+
+    def held_at(n: int) -> Column:  # a function, as a lambda's second parameter would be the index
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("toks") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("toks", i, n)))
+
+    rows = rows.select("doc_id", "key", F.explode_outer(F.array_distinct(F.concat(*(held_at(n) for n in sizes)))).alias("hash"))
+    return rows.join(_sized(short.select("item_id", "hash")), "hash").select("doc_id", "key", "item_id").distinct()
+
+
 def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -86,13 +128,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
     ``key`` is the text's xxhash64, so rows that repeat a doc_id are judged each; equal
     rows give one result. Null texts and texts without words hold nothing; a null doc_id
-    is reported as null; items with a null id or without telling windows are never found.
-    Other columns are ignored.
+    is reported as null; items with a null id or without a token are never found. A short
+    item counts as one window. Other columns are ignored.
     """
     items = materialize(item_windows(benchmark, window), "benchmark-windows")
     known = _sized(items.select("item_id", "place", "hash", "n_windows"))
     docs = _keyed(docs)
-    each = _with_hashes(docs.select("doc_id", "key", tokens(F.col("text")).alias("toks")), window).select("doc_id", "key", F.explode_outer("hashes").alias("hash"))
+    each = docs.select("doc_id", "key", tokens(F.col("text")).alias("both"))
+    each = _with_hashes(each.withColumn("toks", _read(F.col("both"), False)), window).withColumnRenamed("hashes", "words")
+    each = _with_hashes(each.withColumn("toks", _read(F.col("both"), True)), window)
+    each = each.select("doc_id", "key", F.explode_outer(F.array_union("words", "hashes")).alias("hash"))
     covered = each.join(known, "hash").groupBy("doc_id", "key", "item_id", "n_windows").agg(F.countDistinct("place").alias("n"))
     found = materialize(covered.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "key").distinct(), "template-hits")
 
@@ -100,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     again = docs.join(f, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left_semi")
     again = again.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", tokens(F.col("text")).alias("toks"))
     again = _windows(again, window, "doc_id", "key").withColumnRenamed("slots", "own")
-    met = again.join(_sized(items), "hash").select("doc_id", "key", "item_id", "n_windows", "place", (F.col("at") - F.col("place")).alias("shift"), "slots", "own")
+    met = again.join(_sized(items), "hash").select("doc_id", "key", "item_id", "n_windows", "place", (F.col("at") - F.col("place")).alias("shift"), "slots", "own").distinct()
     met = materialize(met, "template-matches")
     line = ["doc_id", "key", "item_id", "shift"]
     pairs = met.where(F.exists("slots", lambda s: s.isNotNull())).select(*line, F.explode(F.arrays_zip("slots", "own")).alias("s")).where("s.slots is not null")
@@ -109,7 +154,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     for c in line:
         same = same & F.col(c).eqNullSafe(F.col("_" + c))
     whole = met.join(broken, same, "left_anti").groupBy("doc_id", "key", "item_id", "n_windows").agg(F.countDistinct("place").alias("n_matched"))
-    return whole.where(F.col("n_matched") >= coverage * F.col("n_windows")).withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6))
+    whole = whole.where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    short = _whole_matches(docs, benchmark, window)
+    if short is not None:
+        one = F.lit(1).cast("bigint")
+        whole = whole.unionByName(short.withColumn("n_windows", one).withColumn("n_matched", one))
+    return whole.withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

@@ -341,6 +341,20 @@ def test_decontamination(spark, odd, none):
     assert decontamination.decontaminate(odd, bench.where("false")).count() == 9
 
 
+def test_names_that_open_sentences_and_short_items(spark):
+    items = [(1, "Tom has 3 apples. Anna has 4 pears. How many fruits do they have?"), (2, "capital of France"), (3, "12 34 56 78 90 11")]
+    rows = [
+        (1, "Bob has 5 apples. Mary has 6 pears. How many fruits do they have?"),
+        (2, "We ask: what is the Capital of France today"),
+        (3, "numbers 12 34 56 78 90 11 end"),
+        (4, "numbers 12 34 56 78 90 12 end, capital of Spain"),
+        (6, "Bob and Mary have fruits. How many do they have?"),
+    ]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_every_verbatim_item_is_found(spark):
     flat = lambda t: " " + " ".join((t or "").lower().split()) + " "
     docs_ = [(r.doc_id, flat(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
