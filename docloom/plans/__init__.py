@@ -406,6 +406,12 @@ def m05(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", e.alias("levels"))
 
 
+@query("m05_quantise_whole", "SELECT vec_id, list_transform(embedding, lambda x: least(63, greatest(0, round_even(x::DOUBLE * 63, 0)))::INT) AS levels FROM embeddings")
+def m05_whole(spark, sf):
+    e = F.transform("embedding", lambda x: F.least(F.lit(63.0), F.greatest(F.lit(0.0), F.bround(x.cast("double") * 63, 0))).cast("int"))
+    return table(spark, sf, "embeddings").select("vec_id", e.alias("levels"))
+
+
 _GATE_SQL = """WITH p AS (SELECT doc_id, avg((region_type = 'formula')::INT) AS m, avg((region_type = 'figure')::INT) AS f, round(avg(least(1.0, length(text) / 100.0)), 6) AS s, round(count(DISTINCT page) / count(*), 6) AS t FROM chunks GROUP BY doc_id),
 k AS (SELECT doc_id, CASE WHEN m >= 0.25 THEN 'math' WHEN f >= 0.3 THEN 'reference' ELSE 'narrative' END AS doc_type, s, t FROM p),
 g AS (SELECT *, list_filter([CASE WHEN s < CASE doc_type WHEN 'math' THEN 0.8 WHEN 'reference' THEN 0.7 ELSE 0.65 END THEN 'semantic' END, CASE WHEN t < CASE doc_type WHEN 'math' THEN 0.75 WHEN 'reference' THEN 0.7 ELSE 0.65 END THEN 'structural' END], lambda x: x IS NOT NULL) AS failed FROM k)
