@@ -2,11 +2,12 @@
 
 The model's symbols are 64 classes of bytes (letters without case, digits, kinds of marks,
 bytes of other scripts), its order is 4, so there are at most 2^24 n-grams whatever the
-corpus holds: a proven bound. Counts of all trusted documents are summed by n-gram in a
-shuffled aggregation, and lower orders' continuation counts, contexts' totals and
-discounts are joined to them. The probabilities go to the executors in ``SHARDS`` shards by
-leading symbol; documents meet them where they lie, as their own n-grams would be many
-times the input in a shuffle. A language's threshold is a quantile of the perplexities of
+corpus holds: the model doesn't grow with the corpus beyond that. Counts of all trusted
+documents are summed by n-gram in a shuffled aggregation and collected by the driver, which
+computes lower orders' continuation counts, contexts' totals, discounts and probabilities
+in numpy; nothing is joined. The probabilities go whole to every executor, in ``SHARDS``
+broadcasts by leading symbol. Joining documents' n-grams to sharded counts instead is not
+done and its cost not measured. A language's threshold is a quantile of the perplexities of
 its trusted documents.
 """
 
