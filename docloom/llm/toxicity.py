@@ -1,21 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary labelled documents, differ in their counts and
-share the lowest level: p(w) by the number of contexts that w follows in either class.
-Between the two stand a word's first five and first four bytes, counted by class: a rare
-word backs off to these, and its share of them is counted over both classes. An
-expression too rare to tell the classes apart on any level has the same shared backoff
-probability in both, so it adds nothing to the difference; differences under ``SLACK``
-count as ordinary variation. A document's score is a logistic function,
-of its length-normalised log-likelihood difference and its length. It is fitted on a fold
-of the labelled documents by a model of the other folds; the model that scores then counts
-all of them.
-
-Counts come from every labelled document allowed for learning, by two shuffled
-aggregations. An expression is kept if it occurs at least ``MIN_COUNT`` times, whatever
-the size of the input. The model is cut into parts of about ``PART_ENTRIES`` entries by
-the stems of four bytes, which hold all that decides on a word; each is built, sent and
-looked up by itself, by the words that belong to it.
+Two models, of toxic and of ordinary labelled documents, differ in their counts. A word is
+counted by its contexts, not its occurrences, as Kneser-Ney's lower orders are; a context
+is a document that holds it, so one that repeats a word counts once. A word backs off to
+its first five bytes, these to the first four, and these to one distribution that both
+classes share. At each level a class's count c is compared with the count E that the level
+below expects: Kneser-Ney's discount D, widened by ``DEVIATIONS`` times the root of E, is
+taken from |c - E| and given back to that level. An
+expression too rare to tell the classes apart so has the probability of its stem in both
+models; differences under ``SLACK`` count as ordinary variation. A document's score is a
+logistic function of its length-normalised log-likelihood difference and its length. It is
+fitted on a fold of the labelled documents by a model of the other folds; the model that
+scores then counts all of them.
+
+The counts cover every labelled document allowed for learning, by shuffled aggregations,
+and probabilities are computed there. Kept are the words and stems whose difference isn't
+that of the level below: nothing else would change a score, so the model is whole and
+grows with the input. It is cut into parts of about ``PART_ENTRIES`` entries by the stems
+of four bytes, which hold all that decides on a word; each is sent and looked up by itself,
+by the words that belong to it.
 """
 
 from __future__ import annotations
@@ -24,19 +27,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .storage import frugal, materialize, release, tune
-from .textblocks import LOWER, NON_WORD, blocks, mix, utf8, word_hashes, words
+from .textblocks import LOWER, NON_WORD, blocks, utf8, word_hashes, words
 
 DISCOUNT = 0.75
-MIN_COUNT = 5
+#: Of a count's expected value, so many roots are ordinary variation.
+DEVIATIONS = 3.0
 #: Entries of one part of the model; words' bytes that a task scores together when there are more parts.
-PART_ENTRIES = 200_000
+PART_ENTRIES = 1_000_000
 GROUP_BYTES = 1 << 24
 #: Of the learning rows, one in CALIBRATION_PART is kept out of the counts of the model that the logistic function is fitted by, on at most about CALIBRATION_ROWS of these.
 CALIBRATION_PART = 4
@@ -45,8 +48,10 @@ THRESHOLD = 0.7
 #: Labels are joined by broadcast up to this size, else by a shuffled join.
 BROADCAST_ROWS = 2_000_000
 #: Nats by which a difference of two log-probabilities is drawn towards zero.
-SLACK = 0.5
-_PAIR = np.uint64(0x9FB21C651E98DF25)
+SLACK = 1.0
+#: Bits of a word's key that a stem's leaves out: of four bytes, of five, of the word.
+LEVELS = (36, 20, 0)
+STEM_BITS = 64 - LEVELS[0]
 
 
 def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,37 +66,24 @@ def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (four >> low[0] << low[0]) | (five >> low[1] << low[2]) | (word >> low[3]), first
 
 
-def _pairs(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each word; 0 at a document's start."""
-    before = np.zeros_like(hashes)
-    before[1:] = hashes[:-1]
-    before[first[:-1][first[:-1] < len(hashes)]] = 0
-    return before
-
-
-def _pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mix(before * _PAIR + after)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigram counts of each block by class: of all rows, and of those outside the calibration fold."""
+    """For each word of a block the rows that hold it: toxic and ordinary ones, of all and of those outside the calibration fold."""
     for b in batches:
         off, data = utf8(b.column(0))
         label, rest = b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64)
+        kinds = np.stack([label, 1 - label, label * rest, (1 - label) * rest])
         for i, j in blocks(off):
             h, first = _tokens(off[i : j + 1] - off[i], data[off[i] : off[j]])
             if not len(h):
                 continue
-            v, toxic, out = _pairs(h, first), np.repeat(label[i:j], np.diff(first)), np.repeat(rest[i:j], np.diff(first))
-            key, at, inv = np.unique(_pair_key(v, h), return_index=True, return_inverse=True)
-            t = np.bincount(inv, toxic, len(key)).astype(np.int64)
-            o = np.bincount(inv, minlength=len(key)) - t
-            t1 = np.bincount(inv, toxic * out, len(key)).astype(np.int64)
-            o1 = np.bincount(inv, out, len(key)).astype(np.int64) - t1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[at].view(np.int64), h[at].view(np.int64), t, o, t1, o1)], names=["v", "w", "t", "o", "t1", "o1"])
-
-
-STEM_BITS = 28
+            row = np.repeat(np.arange(j - i), np.diff(first))
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
+            once = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
+            h, row = h[once], row[once]
+            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            counts = [np.add.reduceat(k[i:j][row], head) for k in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[head].view(np.int64), *counts)], names=["w", "ct", "co", "ct1", "co1"])
 
 
 def part_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -101,21 +93,16 @@ def part_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Part:
-    """Sorted keys of words and bigrams with their log-likelihood differences."""
+    """For each level its sorted keys with their log-likelihood differences, shortest stem first."""
 
-    levels: list = field(default_factory=list)  # of (bits that a stem's key leaves out, keys, differences), shortest stem first
-    pair: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    pair_diff: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    levels: list = field(default_factory=list)
 
-    def differences(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The difference of each word after the word before it, drawn towards zero."""
+    def differences(self, h: np.ndarray) -> np.ndarray:
+        """The difference of each word, drawn towards zero."""
         each = np.zeros(len(h))
-        for shift, keys, diffs in self.levels:
+        for shift, (keys, diffs) in zip(LEVELS, self.levels, strict=True):
             at, hit = _find(keys, h >> np.uint64(shift))
             each[hit] = diffs[at[hit]]
-        if len(self.pair):
-            at, hit = _find(self.pair, _pair_key(before, h))
-            each[hit] = self.pair_diff[at[hit]]
         return np.sign(each) * np.maximum(np.abs(each) - SLACK, 0)
 
 
@@ -139,13 +126,12 @@ class Model:
                 h, first = _tokens(off[i : j + 1] - off[i], data[off[i] : off[j]])
                 order = np.argsort(part_of(h, n_parts), kind="stable") if n_parts > 1 else np.arange(len(h))
                 cuts = np.searchsorted(part_of(h[order], n_parts), np.arange(n_parts + 1)) if n_parts > 1 else [0, len(h)]
-                before = _pairs(h, first)
-                made.append((h[order], before[order], order, cuts, first, np.zeros(len(h))))
+                made.append((h[order], order, cuts, first, np.zeros(len(h))))
         for k, part in enumerate(self.parts):
             value = part.value
-            for h, before, order, cuts, _, each in made:
+            for h, order, cuts, _, each in made:
                 x, y = cuts[k], cuts[k + 1]
-                each[order[x:y]] = value.differences(h[x:y], before[x:y])
+                each[order[x:y]] = value.differences(h[x:y])
             if n_parts > 1:
                 del value
                 part.__dict__.pop("_value", None)  # read again from the executor's file
@@ -192,38 +178,39 @@ def _find(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == of if len(keys) else np.zeros(len(of), bool)
 
 
-def _kneser_ney(words_: list[pd.DataFrame], pairs: pd.DataFrame, total: pd.Series) -> Part:
-    """A part from counts of its stems of four and five bytes, words, and bigrams (with those of the word before)."""
-    d, model = DISCOUNT, Part()
-    backoff = min(max(d * total.vocabulary / max(total.types, 1), 1e-3), 0.5)
-    below = None
-    for shift, w in zip((36, 20, 0), words_, strict=True):
-        key = w.w.to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        w, key = w.iloc[order].reset_index(drop=True), key[order]
-        both, low = np.maximum(w.cb.to_numpy(), 1), {}
+def _smoothed(count: Column, total: Column, below: Column) -> Column:
+    """A class's probability: its count drawn to the one that ``below`` expects, by the discount and the variation of such a count."""
+    expected = total * below
+    off = count - expected
+    return (expected + F.signum(off) * F.greatest(F.abs(off) - DISCOUNT - DEVIATIONS * F.sqrt(expected), F.lit(0.0))) / F.greatest(total, F.lit(1))
+
+
+def _entries(by_word: DataFrame, totals) -> DataFrame:
+    """(level, key, diff, diff1) of all stems and words, from counts by word: ``ct co cb``, and ``ct1 co1 cb1`` outside the fold.
+
+    ``diff`` is null where it is the level below's.
+    """
+    counts = [c + k for k in ("", "1") for c in ("ct", "co", "cb")]
+    below, out = None, []
+    for level, shift in enumerate(LEVELS):
+        rows = by_word.groupBy(F.shiftrightunsigned("w", shift).alias("key")).agg(*(F.sum(c).alias(c) for c in counts)) if shift else by_word.select(F.col("w").alias("key"), *counts)
         if below is None:
-            low = dict.fromkeys("to", both / max(total.types, 1))
+            lower = {c + k: F.col("cb" + k) / max(totals["cb" + k] or 0, 1) for k in ("", "1") for c in "to"}
+            base = {k: F.lit(0.0) for k in ("", "1")}
         else:
-            at, hit = _find(below[0], key >> np.uint64(below[3] - shift))
-            part = both / np.where(hit, below[1][at], both) if len(below[0]) else np.ones(len(both))
-            low = {k: part * np.where(hit, below[2][k][at], both / max(total.types, 1)) for k in "to"}
-        p = {k: (1 - backoff) * np.maximum(w["c" + k].to_numpy() - d, 0) / max(total["types_" + k], 1) + backoff * low[k] for k in "to"}
-        below = key, both, p, shift
-        model.levels.append((shift, key, np.log(p["t"] / p["o"]).astype(np.float32)))
-    if len(pairs):
-        key, _, lower, _ = below
-        v, x = (pairs[c].to_numpy().view(np.uint64) for c in "vw")
-        iw, use = _find(key, x)
-        pairs, v, x, iw, p = pairs[use], v[use], x[use], iw[use], {}
-        for k in "to":
-            n = np.maximum(pairs["n" + k].to_numpy(), pairs["c" + k].to_numpy())
-            fans = np.minimum(pairs["f" + k].to_numpy(), n)
-            p[k] = np.where(n > 0, (np.maximum(pairs["c" + k].to_numpy() - d, 0) + d * np.maximum(fans, 0.1) * lower[k][iw]) / np.maximum(n, 1), lower[k][iw])
-        key = _pair_key(v, x)
-        order = np.argsort(key)
-        model.pair, model.pair_diff = key[order], np.log(p["t"] / p["o"])[order].astype(np.float32)
-    return model
+            rows = rows.join(below, F.shiftrightunsigned("key", LEVELS[level - 1] - shift) == F.col("_key"))
+            lower = {c + k: F.when(F.col("_cb" + k) > 0, F.col("cb" + k) / F.col("_cb" + k) * F.col(f"_p{c}{k}")).otherwise(0.0) for k in ("", "1") for c in "to"}
+            base = {k: F.coalesce(F.log(F.try_divide("_pt" + k, "_po" + k)), F.lit(0.0)) for k in ("", "1")}
+        p = [_smoothed(F.col(f"c{c}{k}"), F.lit(totals[f"c{c}{k}"] or 0), lower[c + k]).alias(f"p{c}{k}") for k in ("", "1") for c in "to"]
+        rows = rows.select("key", *counts, *p, *(v.alias("base" + k) for k, v in base.items()))
+        diffs = [F.log(F.try_divide("pt" + k, "po" + k)) for k in ("", "1")]
+        own = [F.when(F.abs(d - F.col("base" + k)) > 1e-9, d).alias("diff" + k) for k, d in zip(("", "1"), diffs, strict=True)]
+        if shift:
+            rows = materialize(rows.select("key", *counts, *(f"p{c}{k}" for k in ("", "1") for c in "to"), *own), "stems")
+            below = rows.select(F.col("key").alias("_key"), *(F.col(c + k).alias(f"_{c}{k}") for k in ("", "1") for c in ("cb", "pt", "po")))
+            own = ["diff", "diff1"]
+        out.append(rows.select(F.lit(level).alias("level"), "key", *own))
+    return out[0].unionByName(out[1]).unionByName(out[2]).where("diff is not null or diff1 is not null")
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,57 +221,45 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks) if small else marks, "doc_id")
 
 
-def _parts(table: DataFrame, fold: str = "") -> list:
-    """The model's parts as broadcasts, by the counts whose names end in ``fold``; the driver holds those of one at a time."""
-    table = table.select("kind", "v", "w", *(F.col(f"{c}{fold}").alias(c) for c in ("ct", "co", "cb", "n", "nt", "no", "ft", "fo"))).where("n > 0")
-    by_word = table.where("kind = 1")
-    total = by_word.agg(F.sum("cb").alias("types"), F.sum("ct").alias("types_t"), F.sum("co").alias("types_o"), F.count("*").alias("vocabulary")).toPandas().fillna(0).iloc[0]
-    table = table.where(f"kind = 1 or n >= {MIN_COUNT}")
-    entries = table.where(f"n >= {MIN_COUNT}").count()
-    n, out = max(1, -(-entries // PART_ENTRIES)), []
-    stem = F.shiftrightunsigned("w", 64 - STEM_BITS)
+def _parts(table: DataFrame, diff: str) -> list:
+    """The model's parts as broadcasts, by the differences so named; the driver holds those of one at a time."""
+    spark = table.sparkSession
+    table = table.where(F.col(diff).isNotNull()).select("level", "key", F.col(diff).cast("float").alias("diff"))
+    n, out = max(1, -(-table.count() // PART_ENTRIES)), []
+    stem = F.col("key")
+    for level, shift in enumerate(LEVELS):
+        stem = F.when(F.col("level") == level, F.shiftrightunsigned("key", LEVELS[0] - shift)).otherwise(stem)
     for k in range(n):
-        own = table.where(F.floor(stem * n / (1 << STEM_BITS)) == k) if n > 1 else table
-        levels = []
-        for shift in (36, 20, 0):
-            stems = own.where("kind = 1").groupBy(F.shiftrightunsigned("w", shift).alias("w")).agg(*(F.sum(c).alias(c) for c in ("ct", "co", "cb", "n")))
-            levels.append(stems.where(F.col("n") >= MIN_COUNT).toPandas())
-        pairs = own.where("kind = 2").select("v", "w", "ct", "co", "nt", "no", "ft", "fo").toPandas()
-        out.append(table.sparkSession.sparkContext.broadcast(_kneser_ney(levels, pairs, total)))
+        own = (table.where(F.floor(stem * n / (1 << STEM_BITS)) == k) if n > 1 else table).toArrow()
+        level, keys, diffs = (own.column(c).to_numpy() for c in ("level", "key", "diff"))
+        part = Part()
+        for m in range(len(LEVELS)):
+            use = level == m
+            mine = keys[use].view(np.uint64)
+            order = np.argsort(mine)
+            part.levels.append((mine[order], diffs[use][order]))
+        out.append(spark.sparkContext.broadcast(part))
         out[-1].__dict__.pop("_value", None)  # it lies in a file
-        del levels, pairs
+        del own, level, keys, diffs, part
         release()
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Count, bound, and calibrate. With no toxic or no ordinary label, every score is the share of toxic ones, 0.5 at most."""
+    """Count, smooth, and calibrate. With no toxic or no ordinary label, every score is the share of toxic ones, 0.5 at most."""
     tune(docs.sparkSession)
     rows = learning_rows(docs, labels)
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_PART))
     size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum((fold == 0).cast("int")).alias("kept_out")).first()
     if not size.n or not 0 < size.toxic < size.n:
         return Model(base=(size.toxic or 0) / (size.n or 1))
-    counts = rows.select("text", "toxic", (fold != 0).cast("int").alias("rest")).mapInArrow(frugal(_count), "v bigint, w bigint, t bigint, o bigint, t1 bigint, o1 bigint")
-    pairs = counts.groupBy("v", "w").agg(*(F.sum(c).alias(c) for c in ("t", "o", "t1", "o1")))
-    zero = F.lit(0).cast("bigint")
-    word, context = [], []
-    for k in ("", "1"):
-        t, o = F.col(f"t{k}"), F.col(f"o{k}")
-        word += [F.count_if(t > 0).alias(f"ct{k}"), F.count_if(o > 0).alias(f"co{k}"), F.count_if(t + o > 0).alias(f"cb{k}"), F.sum(t + o).alias(f"n{k}")]
-        context += [F.sum(t).alias(f"nt{k}"), F.sum(o).alias(f"no{k}"), F.count_if(t > 0).alias(f"ft{k}"), F.count_if(o > 0).alias(f"fo{k}")]
-    by_word, by_context = pairs.groupBy("w").agg(*word), pairs.groupBy("v").agg(*context)
-    fans = [f"{c}{k}" for k in ("", "1") for c in ("nt", "no", "ft", "fo")]
-    # Both conditions on v would be pushed below the aggregation, which then isn't shared but done once more.
-    often = pairs.where(F.when(F.col("v") != 0, F.col("t") + F.col("o")) >= MIN_COUNT)
-    often = often.join(by_context.withColumnRenamed("v", "_v"), F.col("v").eqNullSafe(F.col("_v")))
-    own = [x for k in ("", "1") for x in (F.col(f"t{k}").alias(f"ct{k}"), F.col(f"o{k}").alias(f"co{k}"), zero.alias(f"cb{k}"), (F.col(f"t{k}") + F.col(f"o{k}")).alias(f"n{k}"))]
-    parts = [
-        by_word.select(F.lit(1).alias("kind"), zero.alias("v"), "*", *(zero.alias(c) for c in fans)),
-        often.select(F.lit(2).alias("kind"), "v", "w", *own, *fans),
-    ]
-    table = materialize(parts[0].unionByName(parts[1]), "kneser-ney")
-    model, fitted = Model(_parts(table)), Model(_parts(table, "1"))
+    counts = rows.select("text", "toxic", (fold != 0).cast("int").alias("rest")).mapInArrow(frugal(_count), "w bigint, ct bigint, co bigint, ct1 bigint, co1 bigint")
+    by_word = counts.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("ct", "co", "ct1", "co1")))
+    by_word = by_word.withColumns({"cb": F.col("ct") + F.col("co"), "cb1": F.col("ct1") + F.col("co1")})
+    by_word = materialize(by_word, "contexts")
+    totals = by_word.agg(*(F.sum(c).alias(c) for c in by_word.columns[1:])).first()
+    table = materialize(_entries(by_word, totals), "kneser-ney")
+    model, fitted = Model(_parts(table, "diff")), Model(_parts(table, "diff1"))
     model.base = size.toxic / size.n
 
     share = min(1.0, CALIBRATION_ROWS / max(size.kept_out, 1))

@@ -246,7 +246,7 @@ def test_toxicity_learns_from_every_allowed_document(spark):
     made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(made.select("doc_id", "text"), made.select("doc_id", "toxic"))
     key, first = toxicity._tokens(np.array([0, 11]), np.frombuffer(b"wicked grub", np.uint8))
-    assert (model.parts[0].value.differences(key, toxicity._pairs(key, first)) > 0).all()
+    assert (model.parts[0].value.differences(key) > 0).all()
 
 
 def test_toxicity_keeps_expressions_whatever_the_size(spark, monkeypatch):
@@ -256,12 +256,56 @@ def test_toxicity_keeps_expressions_whatever_the_size(spark, monkeypatch):
     model = toxicity.train(made, labels)
     got = {r.doc_id: r.score for r in toxicity.score(made, model).select("doc_id", "score").collect()}
     assert min(got[i] for i in range(18)) > 0.5 > max(got[i] for i in range(18, 400))
-    monkeypatch.setattr(toxicity, "PART_ENTRIES", 3)
+    monkeypatch.setattr(toxicity, "PART_ENTRIES", 1)
     cut = toxicity.train(made, labels)
     assert len(model.parts) == 1 and len(cut.parts) > 3
     assert {r.doc_id: r.score for r in toxicity.score(made, cut).select("doc_id", "score").collect()} == pytest.approx(got)
 
 
+def test_toxicity_by_hand(spark):
+    """Every word's difference, computed by plain loops over words, first five and first four bytes."""
+    rng = np.random.default_rng(7)
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    stock = [f"{a}{b}" for a in ("same", "sample", "rott", "rotte", "other") for b in ("", "n", "ng", "ner", "x1", "x2")]
+    toxic = {i: int(rng.random() < 0.3) for i in ids}
+    text = {i: [str(w) for w in rng.choice(stock[12:18] if toxic[i] and rng.random() < 0.6 else stock[:14] + stock[18:], 8)] for i in ids}
+    counts = {shift: defaultdict(lambda: [0, 0]) for shift in toxicity.LEVELS}
+    for i in ids:
+        for w in set(text[i]):
+            for shift, key in zip(toxicity.LEVELS, (w[:4], w[:5], w)):
+                counts[shift][key][1 - toxic[i]] += 1
+    total = [sum(c[k] for c in counts[0].values()) for k in (0, 1)]
+
+    def smoothed(count, n, below):
+        e = n * below
+        return (e + np.sign(count - e) * max(abs(count - e) - 0.75 - 3 * e**0.5, 0)) / n
+
+    p = {}
+    for shift, cut, above in ((36, 4, None), (20, 5, 36), (0, 99, 20)):
+        for key, c in counts[shift].items():
+            stem = key[: {36: 4, 20: 4, 0: 5}[shift]]
+            below = [sum(c) / sum(total)] * 2 if above is None else [p[above, stem][k] * sum(c) / sum(counts[above][stem]) for k in (0, 1)]
+            p[shift, key] = [smoothed(c[k], total[k], below[k]) for k in (0, 1)]
+    made = spark.createDataFrame([(i, " ".join(text[i]), toxic[i]) for i in ids], "doc_id long, text string, toxic int")
+    model = toxicity.train(made.select("doc_id", "text"), made.select("doc_id", "toxic"))
+    told = 0
+    for w in {w for ws in text.values() for w in ws}:
+        want = np.log(p[0, w][0] / p[0, w][1])
+        key, _ = toxicity._tokens(np.array([0, len(w)]), np.frombuffer(w.encode(), np.uint8))
+        got = model.parts[0].value.differences(key)[0]
+        assert got == pytest.approx(np.sign(want) * max(abs(want) - toxicity.SLACK, 0), abs=1e-5), w
+        told += got > 0
+    assert told
+
+
+def test_toxicity_on_the_labels(spark):
+    d = SF.replace("0.001", "0.01")
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [(marks[r.doc_id], r.predicted) for r in toxicity.op6_toxicity(spark, d).collect() if r.held_out and r.doc_id in marks]
+    caught, flagged = [p for x, p in held if x], [x for x, p in held if p]
+    assert np.mean(caught) >= 0.8 and np.mean(flagged) >= 0.9
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
     grams, n = np.unique(rng.integers(0, 1 << 24, 3000), return_counts=True)
