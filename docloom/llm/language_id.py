@@ -14,11 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .storage import frugal, tune
+from .storage import frugal, materialize, tune
 from .textblocks import blocks, utf8
 
 WINDOW = 256
@@ -27,8 +27,9 @@ FILTERS = 12
 #: Documents of each language that train the network, at most about; windows taken of each.
 SAMPLE_DOCUMENTS = 600
 SAMPLE_WINDOWS = 4
-#: Languages that are learned: the most frequent.
-LANGUAGES = 64
+#: With many languages each has fewer documents: about so many in all, but no fewer than LEAST_DOCUMENTS of a language (or all it has).
+ALL_DOCUMENTS = 40_000
+LEAST_DOCUMENTS = 40
 EPOCHS = 6
 BATCH = 128
 UNDETERMINED = "und"
@@ -134,20 +135,30 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[pick])), pa.array([x[p].tobytes() for p in pick], pa.binary())], names=["lang", "window"])
 
 
+def sampled(n: Column, documents: int, id_col: str = "doc_id", seed: int = 11) -> Column:
+    """Whether a row is one of about ``documents`` out of ``n``, by a hash of 62 bits: the share doesn't vanish with a large ``n``."""
+    share = F.least(F.lit(1.0), F.lit(float(documents)) / n) * float(1 << 62)
+    return F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 2) < share.cast("bigint")
+
+
 def train(docs: DataFrame) -> Network:
-    """A network for the languages of the rows allowed for learning: non-null lang, crc32(doc_id as text) mod 5 not 0."""
+    """A network for every language of the rows allowed for learning: non-null lang, crc32(doc_id as text) mod 5 not 0.
+
+    It is fitted on a bounded sample of them (SAMPLE_DOCUMENTS, ALL_DOCUMENTS). A language
+    whose texts are all empty isn't learned.
+    """
     tune(docs.sparkSession)
-    rows = docs.where("lang is not null and text is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Network()
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, int(min(1.0, SAMPLE_DOCUMENTS / r.n) * (1 << 20))).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share)
-    found = some.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(_sample), "lang string, window binary").toArrow()
-    if not found.num_rows:
+    rows = docs.where("lang is not null and octet_length(cast(text as string)) > 0 and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n = counts.count()
+    if not n:
         return Network()
+    documents = max(LEAST_DOCUMENTS, min(SAMPLE_DOCUMENTS, ALL_DOCUMENTS // n))
+    some = rows.join(counts, "lang").where(sampled(F.col("n"), documents))
+    found = some.select("lang", "text").mapInArrow(frugal(_sample), "lang string, window binary").toArrow()
+    if len(found.column("lang").unique()) < n:
+        raise RuntimeError(f"the sample holds {len(found.column('lang').unique())} of {n} languages")
     languages = sorted(set(found.column("lang").to_pylist()))
     number = {v: k for k, v in enumerate(languages)}
     x = np.frombuffer(b"".join(found.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)

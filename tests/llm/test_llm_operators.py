@@ -222,6 +222,18 @@ def test_language_held_out(spark, odd, none):
     assert language_id.predict(none, language_id.train(none)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    F = language_id.F
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i * 80 + k, " ".join([letters[k % 26] * 3 + letters[k // 26]] * 12), f"l{k}") for i in range(8) for k in range(80)]
+    net = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.languages == sorted(f"l{k}" for k in range(80))
+    many = spark.range(200_000).select(F.sum(language_id.sampled(F.lit(10**9), 10**6, "id").cast("long")), F.sum(language_id.sampled(F.lit(10**15), 10**6, "id").cast("long")), F.sum(language_id.sampled(F.lit(3), 600, "id").cast("long"))).first()
+    assert 120 < many[0] < 290 and many[1] == 0 and many[2] == 200_000
+    bound = spark.range(1).select((F.least(F.lit(1.0), F.lit(600.0) / F.lit(10**12)) * float(1 << 62)).cast("bigint")).first()[0]
+    assert bound > 10**9
+
+
 def test_toxicity(spark, docs, odd, none):
     rows = [(i, ("you vile rotter " if i % 4 == 0 else "a calm day ") + f"word{i % 13} with other things word{i % 7}", i % 4 == 0) for i in range(600)]
     made = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
@@ -420,6 +432,30 @@ def test_sharding(spark, docs, odd, none, tmp_path):
     assert sharding.shuffle_into_shards(none).count() == 0
 
 
+def test_shards_depend_on_the_records_alone(spark, docs, tmp_path):
+    rows = docs.select("doc_id", "text").unionByName(docs.where("n_chars < 500").select("doc_id", "text"))  # copies that fill no quarter of a bucket
+    places = lambda df: sorted((tuple(r) for r in sharding.shuffle_into_shards(df, bucket_bytes=1 << 15).drop("text").collect()), key=str)
+    want = places(rows.repartition(4))
+    assert places(rows.repartition(7)) == want and places(rows.orderBy("text").coalesce(1)) == want
+    rows.repartition(5, "text").write.parquet(f"{tmp_path}/other")
+    assert places(spark.read.parquet(f"{tmp_path}/other")) == want
+    assert [r[2] for r in sorted(want, key=lambda r: (r[1], r[2]))] != sorted(r[2] for r in want)
+
+
+def test_copies_of_one_record_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(sharding, "RUN_BUCKETS", 3)
+    rows = spark.createDataFrame([(i, f"t{i}", {"a": i}) for i in range(100)] + [(7, "same", {"b": 1})] * 300, "doc_id long, text string, extra map<string,int>")
+    for most in (sharding.BROADCAST_BUCKETS, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", most)
+        found = sharding.shuffle_into_shards(rows, shards=7).collect()
+        slots = defaultdict(list)
+        for r in found:
+            slots[r.shard].append(r.slot)
+        assert len(found) == 400 and sum(r.text == "same" for r in found) == 300 and sorted(map(len, slots.values())) == [57] * 6 + [58]
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_pipeline_against_its_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs_ = spark.read.parquet(f"{SF}/documents.parquet")
