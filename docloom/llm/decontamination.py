@@ -165,8 +165,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     hit = _sized(materialize(leaks(docs, benchmark, window, coverage).select("doc_id", "key").distinct(), "leaks"))
-    hit = hit.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]) & (F.xxhash64(docs["text"]) == hit["key"]), "left_anti")
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import frugal, materialize, tune
@@ -40,6 +40,8 @@ PIVOTS = 32
 #: Blocks of up to so many members are compared pairwise; larger ones by search from linked members.
 SMALL_BLOCK = 48
 _BUFFER = 1 << 16
+#: Internal column of texts' marks.
+MARK = "__docloom_mark"
 #: For ``similar_documents``: words of a shingle, the least similarity, and the MinHash bands.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
@@ -211,13 +213,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _roots(rows: DataFrame, edges: DataFrame, mark: str) -> DataFrame:
+    """(``mark``, root) of all marks in ``rows``: what ``edges`` between marks reach."""
+    marks = rows.select(mark).distinct()
+    root = connected_components(edges)
+    return materialize(marks.join(root, marks[mark] == root.node, "left").select(mark, F.coalesce("root", mark).alias("root")), "roots")
+
+
 def _components(rows: DataFrame, edges: DataFrame, mark: str) -> DataFrame:
     """``rows`` (id, ``mark``) with the smallest id that ``edges`` between marks reach, as component_id."""
-    marks = rows.groupBy(mark).agg(F.min("id").alias("least"))
-    root = connected_components(edges)
-    named = marks.join(root, marks[mark] == root.node, "left").select(mark, "least", F.coalesce("root", mark).alias("root"))
-    named = materialize(named, "roots")
-    of = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = _roots(rows, edges, mark)
+    of = rows.groupBy(mark).agg(F.min("id").alias("least")).join(named, mark).groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(of, "root").select(F.col(mark).alias("_mark"), "component_id")
     return rows.join(named, rows[mark] == named["_mark"]).drop("_mark")
 
@@ -347,15 +353,18 @@ def _search(least: float):
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """(id, component_id) for each row of ``docs``: texts whose sets of word shingles have a Jaccard similarity of ``least`` or more are linked.
-
-    ``component_id`` is as in ``near_duplicates``. Texts without a word are one text.
-    """
-    tune(docs.sparkSession)
+def _mark(text_col: str) -> tuple[Column, Column]:
+    """A text and its 64-bit mark; texts without a word are one empty text."""
     text = F.col(text_col).cast("string")
     text = F.when(F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return text, F.xxhash64(text)
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, mark), and verified links between marks."""
+    tune(docs.sparkSession)
+    text, mark = _mark(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = materialize(texts.mapInArrow(frugal(_bands(shingle)), f"id {kind}, mark bigint, bands array<bigint>"), "bands")
     dealt = rows.select("mark", F.explode("bands").alias("bucket")).distinct()
@@ -368,8 +377,42 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = materialize(sets.mapInArrow(frugal(_sets(shingle)), "mark bigint, shingles binary"), "shingles")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = members.join(sets, "mark").select("bucket", "mark", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket")
-    edges = buckets.mapInArrow(frugal(_search(least)), "a bigint, b bigint").distinct()
-    return _components(rows.select("id", "mark"), edges, "mark").select(F.col("id").alias(id_col), "component_id")
+    return rows.select("id", "mark"), buckets.mapInArrow(frugal(_search(least)), "a bigint, b bigint").distinct()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) for each row of ``docs``: texts whose sets of word shingles have a Jaccard similarity of ``least`` or more are linked.
+
+    ``component_id`` is as in ``near_duplicates``. Texts without a word are one text.
+    """
+    rows, edges = _similar(docs, id_col, text_col, shingle, least)
+    return _components(rows, edges, "mark").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """One row of each group that ``similar_documents`` links, with all columns: that with the smallest id (null last).
+
+    Rows are told apart by id and text, so an id that several texts share loses none that
+    is unique. Of rows with both alike one stays, whatever their other columns hold.
+    """
+    rows, edges = _similar(docs, id_col, text_col, shingle, least)
+    counted = rows.groupBy("id", "mark").agg(F.count("*").alias("n")).join(_roots(rows, edges, "mark"), "mark")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    first = counted.groupBy("root").agg(F.min(order).alias("first"))
+    judged = counted.join(first, "root").select("id", "mark", "n", (order == F.col("first")).alias("stays"))
+    judged = materialize(judged.where("n > 1 or not stays"), "judged")
+    own = docs.columns
+    docs = docs.withColumn(MARK, _mark(text_col)[1])
+
+    def among(condition: str, how: str, of: DataFrame) -> DataFrame:
+        some = judged.where(condition).select(F.col("id").alias("_id"), "mark")
+        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        return of.join(some, of[id_col].eqNullSafe(some["_id"]) & (of[MARK] == some["mark"]), how)
+
+    out = among("not stays", "left_anti", docs)
+    if judged.where("stays").limit(1).count():
+        out = among("stays", "left_anti", out).unionByName(among("stays", "left_semi", out).dropDuplicates([id_col, MARK]))
+    return out.select(*own)
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

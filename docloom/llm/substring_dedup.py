@@ -289,7 +289,9 @@ def verify(docs: DataFrame, claims: DataFrame, size: int = WINDOW) -> DataFrame:
     return materialize(met.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
 
 
-def _cut(size: int, at_text: int, at_spans: int):
+def _cut(size: int, at_text: int, names: list[str]):
+    at_spans = len(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             off, data = utf8(b.column(at_text))
@@ -306,21 +308,21 @@ def _cut(size: int, at_text: int, at_spans: int):
                     w = [w[k] for k in stay]
                 removed.append(counts[-1] - len(w))
                 kept.append(b" ".join(w).decode())
-            cols = [c for k, c in enumerate(b.columns) if k != at_spans]
-            names = [n for k, n in enumerate(b.schema.names) if k != at_spans]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at_spans], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
 
     return run
 
 
 def remove_copies(docs: DataFrame, claims: DataFrame, size: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space)."""
+    """All columns of ``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space), which replace columns so named."""
     spans = _maybe_broadcast(verify(docs, claims, size), "spans")
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    own = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept", "_spans")]
-    joined = docs.select(*(f.name for f in own)).join(spans, (F.col("doc_id").cast("bigint") == F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_doc", "_key")
+    own = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept")]
+    at = {f.name: f"c{k}" for k, f in enumerate(own)}  # no name of the caller's meets one of ours
+    veiled = docs.select(*(F.col(f"`{n}`").alias(c) for n, c in at.items()))
+    same = (veiled[at["doc_id"]].cast("bigint") == spans["doc_id"]) & (F.xxhash64(veiled[at["text"]]) == spans["key"])
+    joined = veiled.join(spans, same, "left").select(*at.values(), "spans")
     schema = StructType([*own, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    return joined.mapInArrow(frugal(_cut(size, [f.name for f in own].index("text"), len(own))), schema)
+    return joined.mapInArrow(frugal(_cut(size, list(at).index("text"), list(at))), schema)
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, first_batch: float = FIRST_BATCH) -> DataFrame:
