@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame operations only.
 
-A text becomes words and typed placeholders: numbers, units after or before a number, and
-names (capitalised words inside a sentence). Windows of ``WINDOW`` such tokens are hashed
+A text becomes words and typed placeholders: numbers (digits, or English number words),
+units after or before a number, and names (runs of capitalised words inside a sentence, one
+placeholder each with its first word, so "New York" may become "Paris"). Windows of
+``WINDOW`` such tokens are hashed
 and joined with those of the benchmark's items, so a question asked again with other
 numbers, units or names still meets its item. A capitalised word that may only begin a
 sentence is read both ways, as a word and as a name; a window counts if either reading
-meets. An item shorter than a window, or without a window of enough words, is matched by
+meets; read as a name it makes one with the names that follow it. An item shorter than a window, or without a window of enough words, is matched by
 its whole sequence of tokens with their values. A second look, at the documents that cover
 enough of an item only, checks the slots: along one alignment an item's value must always
 become the same value; alignments that break this don't count.
@@ -28,6 +30,9 @@ BROADCAST_ROWS = 1_000_000
 #: Words that are units where a number precedes them.
 UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "miles", "ft", "feet", "inches", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "percent", "dollars", "cents", "euros", "usd", "eur")
 
+#: Words that are numbers.
+NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen")
+
 
 def tokens(text: Column) -> Column:
     """Lower-case words, and placeholders that hold their value: a type (0x01 number, 0x02 unit, 0x03 name, 0x05 word or name), the value, 0x04."""
@@ -37,14 +42,40 @@ def tokens(text: Column) -> Column:
     numbered = F.regexp_replace(numbered, r"([$€£])(?=[0-9])", "\x02$1\x04")
     numbered = F.regexp_replace(numbered, "(?<![\\p{L}\\p{N}\x02])([0-9]+(?:[.,:/][0-9]+)*)", "\x01$1\x04")
     text = F.when(text.rlike("[0-9]"), numbered).otherwise(text)
-    text = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll},;] .)\p{L}*)", "\x03$1\x04")
+    text = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll},;] .)\p{L}*)(?:\s\p{Lu}\p{L}*)*", "\x03$1\x04")
     text = F.regexp_replace(text, "(?<![\\p{L}\\p{N}\x01-\x03])(\\p{Lu}\\p{L}*)", "\x05$1\x04")
     return F.regexp_extract_all(F.lower(text), F.lit("[\x01-\x03\x05][^\x04]*\x04|[\\p{L}\\p{N}]+"), F.lit(0))
 
 
+def _worded(rows: DataFrame) -> DataFrame:
+    """``rows`` (column ``toks``) with number words, and units after these, as placeholders."""
+    number = lambda t: t.isin(*NUMBERS, *(f"\x05{n}\x04" for n in NUMBERS))
+    unit = lambda t, i: t.isin(*UNITS) & F.coalesce(number(F.get("toks", i - 1)), F.lit(False))
+    return rows.withColumn("toks", F.transform("toks", lambda t, i: F.when(t.isin(*NUMBERS), F.concat(F.lit("\x01"), t, F.lit("\x04"))).when(unit(t, i), F.concat(F.lit("\x02"), t, F.lit("\x04"))).otherwise(t)))
+
+
+def _named(token: Column) -> Column:
+    return F.coalesce(token.startswith("\x03") | token.startswith("\x05"), F.lit(False))
+
+
+def _follows_name(toks: Column, i: Column) -> Column:
+    """Whether the name at ``i`` goes on one before it."""
+    return _named(F.get(toks, i)) & _named(F.get(toks, i - 1))
+
+
 def _read(toks: Column, names: bool) -> Column:
-    """The tokens with each word or name read as a name, or as a word."""
-    return F.transform(toks, lambda t: F.when(t.startswith("\x05"), F.concat(F.lit("\x03"), F.substring(t, 2, 1 << 30)) if names else F.translate(t, "\x04\x05", "")).otherwise(t))
+    """The tokens (a column) with each word or name read as a word, or as a name together with those before it."""
+    if names:
+        first = F.filter(toks, lambda t, i: ~_follows_name(toks, i))
+        return F.transform(first, lambda t: F.when(t.startswith("\x05"), F.concat(F.lit("\x03"), F.substring(t, 2, 1 << 30))).otherwise(t))
+    plain = lambda t: F.translate(t, "\x04\x05", "")
+    return F.transform(toks, lambda t: F.when(t.startswith("\x05"), F.when(plain(t).isin(*NUMBERS), F.concat(F.lit("\x01"), F.substring(t, 2, 1 << 30))).otherwise(plain(t))).otherwise(t))
+
+
+def _places(toks: Column, names: bool) -> Column:
+    """For each token of a reading its place in ``toks``."""
+    every = F.sequence(F.lit(0), F.greatest(F.size(toks) - 1, F.lit(0)))
+    return F.filter(every, lambda i: ~_follows_name(toks, i)) if names else every
 
 
 def _template(token: Column) -> Column:
@@ -68,20 +99,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _windows(rows: DataFrame, window: int, *keep: str) -> DataFrame:
-    """(*keep, at, hash, slots) of each window; slots are its placeholders with their values, null for words."""
-    both = F.array(*(F.struct(F.lit(n).alias("names"), _read(F.col("toks"), n).alias("toks")) for n in (False, True)))
-    rows = rows.select(*keep, F.explode(both).alias("r")).select(*keep, "r.names", "r.toks")
+    """(*keep, at, place, hash, slots) of each window: where it begins in its reading and in the tokens, and its placeholders with their values, null for words."""
+    both = F.array(*(F.struct(_places(F.col("toks"), n).alias("places"), _read(F.col("toks"), n).alias("toks")) for n in (False, True)))
+    rows = rows.select(*keep, F.explode(both).alias("r")).select(*keep, "r.places", "r.toks")
     rows = _with_hashes(rows, window)
     slots = lambda i: F.transform(F.slice("toks", i + 1, window), lambda t: F.when(t < "\x04", t))
-    each = F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), i.alias("at"), slots(i).alias("slots")))
+    each = F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), i.alias("at"), F.get("places", i).alias("place"), slots(i).alias("slots")))
     rows = rows.withColumn("_windows", each).select(*keep, F.explode_outer("_windows").alias("w"))
-    return rows.select(*keep, "w.at", "w.hash", "w.slots")
+    return rows.select(*keep, "w.at", "w.place", "w.hash", "w.slots")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(item_id, place, hash, slots, n_windows): the windows that tell each item; windows with fewer words than ``min_words`` are left out."""
-    toks = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("toks"))
-    each = _windows(toks, window, "item_id").where("hash is not null").withColumnRenamed("at", "place")
+    """(item_id, at, place, hash, slots, n_windows): the windows that tell each item; windows with fewer words than ``min_words`` are left out."""
+    toks = _worded(benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("toks")))
+    each = _windows(toks, window, "item_id").where("hash is not null")
     words = F.size(F.filter("slots", lambda s: s.isNull()))
     each = each.where(words >= F.least(F.lit(min_words), F.size("slots")))
     each = each.join(_short(toks, window, min_words), "item_id", "left_anti")
@@ -104,13 +135,13 @@ def _short(toks: DataFrame, window: int, min_words: int) -> DataFrame:
 
 def _whole_matches(docs: DataFrame, benchmark: DataFrame, window: int, min_words: int = MIN_WORDS) -> DataFrame | None:
     """(doc_id, key, item_id) where a document holds all tokens of a short item in a row, with their values; None without short items."""
-    toks = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("toks"))
+    toks = _worded(benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("toks")))
     short = _short(toks, window, min_words).select("item_id", F.size("toks").alias("size"), F.xxhash64(_values(F.col("toks"))).alias("hash"))
     short = materialize(short, "short-items")
     sizes = sorted(r["size"] for r in short.select("size").distinct().collect())
     if not sizes:
         return None
-    rows = docs.select("doc_id", "key", tokens(F.col("text")).alias("toks")).withColumn("toks", _values(F.col("toks")))
+    rows = _worded(docs.select("doc_id", "key", tokens(F.col("text")).alias("toks"))).withColumn("toks", _values(F.col("toks")))
 
     def held_at(n: int) -> Column:  # a function, as a lambda's second parameter would be the index
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("toks") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("toks", i, n)))
@@ -132,9 +163,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     item counts as one window. Other columns are ignored.
     """
     items = materialize(item_windows(benchmark, window), "benchmark-windows")
-    known = _sized(items.select("item_id", "place", "hash", "n_windows"))
+    known = _sized(items.select("item_id", "place", "hash", "n_windows").distinct())
     docs = _keyed(docs)
-    each = docs.select("doc_id", "key", tokens(F.col("text")).alias("both"))
+    each = _worded(docs.select("doc_id", "key", tokens(F.col("text")).alias("toks"))).withColumnRenamed("toks", "both")
     each = _with_hashes(each.withColumn("toks", _read(F.col("both"), False)), window).withColumnRenamed("hashes", "words")
     each = _with_hashes(each.withColumn("toks", _read(F.col("both"), True)), window)
     each = each.select("doc_id", "key", F.explode_outer(F.array_union("words", "hashes")).alias("hash"))
@@ -143,9 +174,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
     f = _sized(found).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
     again = docs.join(f, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left_semi")
-    again = again.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", tokens(F.col("text")).alias("toks"))
-    again = _windows(again, window, "doc_id", "key").withColumnRenamed("slots", "own")
-    met = again.join(_sized(items), "hash").select("doc_id", "key", "item_id", "n_windows", "place", (F.col("at") - F.col("place")).alias("shift"), "slots", "own").distinct()
+    again = _worded(again.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", tokens(F.col("text")).alias("toks")))
+    again = _windows(again, window, "doc_id", "key").select("doc_id", "key", F.col("at").alias("_at"), "hash", F.col("slots").alias("own"))
+    met = again.join(_sized(items), "hash").select("doc_id", "key", "item_id", "n_windows", "place", (F.col("_at") - F.col("at")).alias("shift"), "slots", "own").distinct()
     met = materialize(met, "template-matches")
     line = ["doc_id", "key", "item_id", "shift"]
     pairs = met.where(F.exists("slots", lambda s: s.isNotNull())).select(*line, F.explode(F.arrays_zip("slots", "own")).alias("s")).where("s.slots is not null")

@@ -411,6 +411,71 @@ def test_names_that_open_sentences_and_short_items(spark):
     assert got == {(1, 1), (2, 2), (3, 3)}
 
 
+TEMPLATES = (
+    "{a} has {m} apples. {b} gives {a} {n} {u} of them. How many apples does {a} have now?",
+    "{a} lives in {p} and walks {m} {u} to school every day, so how far does {a} walk in {n} weeks altogether?",
+    "A train leaves {p} at {m} o'clock with {n} passengers. {a} gets off first. When does the train reach the sea?",
+    "If {a} buys {m} books for {n} dollars and {b} buys half as many, what did {b} pay for all of the books?",
+    "{a} and {b} share {m} marbles equally; after {a} loses {n} of them, how many marbles are left for {b}?",
+    "The garden of {a} is {m} {u} long and {n} {u} wide. What is its area when {b} plants a hedge around it?",
+)
+
+
+def test_questions_asked_again_with_other_values(spark):
+    """A generated set: other numbers, number words, units, and names of one or two words, wherever they stand."""
+    rng = np.random.default_rng(8)
+    names, places, numbers, units = ("Anna", "Tom", "Mary Ann", "Bob", "Li Wei", "Zoe"), ("Paris", "New York", "Rome", "San Marino"), ("3", "12", "twelve", "40", "seven", "2.5"), ("kg", "km", "miles", "cm")
+
+    def fill(t):
+        a, b = rng.choice(names, 2, False)
+        m, n = rng.choice(numbers, 2, False)
+        return t.format(a=a, b=b, m=m, n=n, p=rng.choice(places), u=rng.choice(units))
+
+    bench = spark.createDataFrame([(k, fill(t)) for k, t in enumerate(TEMPLATES)], "item_id long, text string")
+    rows = [(100 * k + i, f"some words before it. {fill(t)} and some after") for k, t in enumerate(TEMPLATES) for i in range(10)]
+    other = [t.replace("{a} has", "{a} eats").replace("walks", "drives").replace("train", "boat").replace("buys", "sells").replace("marbles", "coins").replace("garden", "field").replace(" and ", " or ").replace("does", "did") for t in TEMPLATES]
+    rows += [(1000 + 100 * k + i, f"{fill(t)} Nothing else.") for k, t in enumerate(other) for i in range(10)]
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    right = {(100 * k + i, k) for k in range(len(TEMPLATES)) for i in range(10)}
+    assert len(found & right) >= 0.9 * len(right) and not found - right
+
+
+def test_templates_and_slots_by_hand(spark):
+    """Items and documents of one sentence, against windows and slots computed by plain loops."""
+    rng = np.random.default_rng(9)
+    stock = ["red", "blue", "runs", "over", "hill", "tree", "sings", "near"]
+
+    def made():
+        return [str(rng.choice(stock)) if rng.random() < 0.7 else str(rng.integers(1, 4)) for _ in range(8)]
+
+    def changed(w):
+        to = {k: str(rng.integers(1, 4)) for k in "123"}
+        return [to[x] if x in to and rng.random() < 0.9 else x for x in w]
+
+    items = {k: made() for k in range(12)}
+    docs_ = {i: (changed(items[i % 12]) + made()[:2] if i % 3 else made() + items[i % 12][:6]) for i in range(90)}
+    template = lambda w: tuple("#" if x.isdigit() else x for x in w)
+
+    def holds(w, item):
+        spots = [(i, p) for i in range(len(w) - 4) for p in range(len(item) - 4) if template(w[i : i + 5]) == template(item[p : p + 5]) and sum(not x.isdigit() for x in item[p : p + 5]) >= 2]
+        told = {p for p in range(len(item) - 4) if sum(not x.isdigit() for x in item[p : p + 5]) >= 2}
+        kept = set()
+        for shift in {i - p for i, p in spots}:
+            line = [(i, p) for i, p in spots if i - p == shift]
+            pairs = {(x, y) for i, p in line for x, y in zip(item[p : p + 5], w[i : i + 5]) if x.isdigit()}
+            if len(pairs) == len({x for x, _ in pairs}):
+                kept |= {p for _, p in line}
+        return bool(told) and len(kept) >= 0.8 * len(told)
+
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(docs_, "doc_id"), frame(items, "item_id")).collect()}
+    want = {(i, k) for i, w in docs_.items() for k, item in items.items() if holds(w, item)}
+    assert got == want and 20 < len(want) < 90
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontamination, "BROADCAST_ROWS", 0)
+        assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(docs_, "doc_id"), frame(items, "item_id")).collect()} == want
+
+
 def test_every_verbatim_item_is_found(spark):
     flat = lambda t: " " + " ".join((t or "").lower().split()) + " "
     docs_ = [(r.doc_id, flat(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
