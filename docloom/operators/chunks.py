@@ -108,3 +108,23 @@ def numbered_references(rows: DataFrame, region: str, word: str) -> DataFrame:
     found = found.select("doc_id", F.col("chunk_id").alias("source"), F.col("n").cast("int").alias("ordinal")).distinct()
     targets = ordinals(rows.where(F.col("region_type") == region)).join(rows.select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "ordinal", F.col("chunk_id").alias("target"))
     return found.join(targets, ["doc_id", "ordinal"], "left").select("source", "ordinal", "target")
+
+
+def heading_stack(heads: DataFrame, levels: int = 6) -> DataFrame:
+    """(doc_id, pos, level, parent, path) of headings (doc_id, pos, level, text) as a stack leaves them: a heading ends all of its level and deeper.
+
+    ``parent`` is the last higher heading's place, ``path`` the titles from the outermost one
+    down to the heading. At a level the last heading counts if no higher one came after it.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda k: F.last(F.when(F.col("level") == k, F.struct("pos", "text")), ignorenulls=True).over(w)
+    rows = heads.where(F.col("level").between(1, levels)).select("doc_id", "pos", "level", "text", *(last(k).alias(f"_{k}") for k in range(1, levels)))
+    open_ = []
+    for k in range(1, levels):
+        higher = [F.coalesce(F.col(f"_{j}.pos"), F.lit(0)) for j in range(1, k)]
+        newest = F.greatest(*higher) if len(higher) > 1 else higher[0] if higher else F.lit(0)
+        open_.append(F.when((F.col("level") > k) & (F.col(f"_{k}.pos") > newest), F.col(f"_{k}")))
+    above = F.array_compact(F.array(*open_))
+    rows = rows.select("doc_id", "pos", "level", "text", above.alias("above"))
+    path = F.concat(F.transform("above", lambda x: x["text"]), F.array("text"))
+    return rows.select("doc_id", "pos", "level", F.get("above", F.size("above") - 1)["pos"].alias("parent"), F.array_join(path, " / ").alias("path"))

@@ -55,3 +55,48 @@ def queue(candidates: DataFrame, limit: int) -> DataFrame:
     rank = F.array_min(F.transform("reasons", lambda r: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv)), r), F.lit(DEFAULT_PRIORITY))))
     rows = candidates.withColumn("priority", F.coalesce(rank, F.lit(DEFAULT_PRIORITY)))
     return rows.orderBy("priority", F.coalesce("page", F.lit(0)), "chunk_id").limit(limit)
+
+
+def global_totals(events: DataFrame) -> DataFrame:
+    """Running totals over all events in time order, day by day: one window inside each day and one over the days."""
+    rows = events.withColumn("_day", F.to_date("ts"))
+    days = rows.groupBy("_day").agg(F.sum("value").alias("_v"), F.count("*").alias("_n"))
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.coalesce(F.sum("_v").over(before), F.lit(0.0)).alias("_v"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("_day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_tv", F.sum("value").over(inside)).withColumn("_tn", F.count("*").over(inside))
+    return rows.join(days, "_day").select("event_id", F.round(F.col("_v") + F.col("_tv"), 4).alias("total"), (F.col("_n") + F.col("_tn")).alias("n"))
+
+
+def pruned(versions: DataFrame, key: str, score: str, ident: str, limit: int, seed: str = "") -> DataFrame:
+    """Of each key the best ``limit`` - 1 rows and one of the rest, drawn by a seeded digest; all where there are no more than ``limit``."""
+    w = Window.partitionBy(key)
+    rows = versions.withColumn("_rank", F.row_number().over(w.orderBy(F.desc(score), ident))).withColumn("_n", F.count("*").over(w))
+    best = max(1, limit - 1)
+    digest = F.md5(F.concat(F.lit(seed), F.col(ident).cast("string")).cast("binary"))
+    tail = F.col("_rank") > best
+    rows = rows.withColumn("_draw", F.row_number().over(w.partitionBy(key, tail).orderBy(digest)))
+    return rows.where((F.col("_n") <= limit) | ~tail | (F.col("_draw") == 1)).drop("_rank", "_n", "_draw")
+
+
+def run_states(events: DataFrame, failure: str) -> DataFrame:
+    """Each user's events as steps of a run: IDLE at the first, RUNNING, FAILED from the first failure on, COMPLETED at the last."""
+    w = Window.partitionBy("user_id")
+    at, n = F.row_number().over(w.orderBy("ts", "event_id")), F.count("*").over(w)
+    failed = F.max((F.col("event_type") == failure).cast("int")).over(w.orderBy("ts", "event_id")) == 1
+    state = F.when(failed, "FAILED").when(at == n, "COMPLETED").when(at == 1, "IDLE").otherwise("RUNNING")
+    return events.select("event_id", "user_id", state.alias("state"), F.round(100.0 * at / n, 4).alias("progress"))
+
+
+def until_good(events: DataFrame, threshold: float) -> DataFrame:
+    """Each user's events up to the first whose value reaches the threshold, with the best value so far."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    done = F.max((F.col("value") >= threshold).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = events.withColumn("_done", F.coalesce(done, F.lit(0))).withColumn("best", F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("_done = 0").select("event_id", "user_id", "best")
+
+
+def branch_ledger(results: DataFrame) -> DataFrame:
+    """How many results of each branch there are, and how many were completed, failed or skipped."""
+    status = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return results.groupBy("branch").agg(F.count("*").alias("total"), status("completed"), status("failed"), status("skipped"))
