@@ -449,4 +449,4 @@ def e07(spark, sf):
     return t.select("conv_id", F.md5(F.array_join(F.transform("x", lambda v: v["text"]), "").cast("binary")).alias("digest"), F.size("x").cast("bigint").alias("tokens"))
 
 
-from docloom.plans import fusion, graph, latex, layout, markup, profiles  # noqa: E402,F401  (register their queries)
+from docloom.plans import fusion, graph, latex, layout, markup, profiles, sources  # noqa: E402,F401  (register their queries)

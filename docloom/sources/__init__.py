@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.files import folder_of
+
 CHUNK = "chunk_id STRING, page INT, text STRING, images ARRAY<STRING>, metadata STRING"
 PLAN_BLOCK = "block_id STRING, chunk_id STRING, label STRING, block_type STRING, images ARRAY<STRING>, metadata STRING"
 SNIPPET = "chunk_id STRING, latex STRING, notes STRING, branch STRING"
@@ -28,8 +30,8 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 def read_tex_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Whole ``*.tex`` files below ``root``, with the first folder as domain (null for files right in it)."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.tex")
-    below = F.split(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + root.strip("/").replace("\\", "").split("/")[-1] + "/", ""), "/")
-    return files.select(F.col("_metadata.file_path").alias("path"), F.when(F.size(below) > 1, below[0]).alias("domain"), "value")
+    path = F.col("_metadata.file_path")
+    return files.select(path.alias("path"), folder_of(path, root).alias("domain"), "value")
 
 
 def markdown_paragraphs(docs: DataFrame, text_col: str = "text") -> DataFrame:
