@@ -58,7 +58,7 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
 def _powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     key = (base, inverse)
     if key not in _tables or len(_tables[key]) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, (1 << 19) + 1)
         step = np.full(size, pow(base, -1, 1 << 64) if inverse else base, np.uint64)
         step[0] = 1
         made = np.multiply.accumulate(step)
