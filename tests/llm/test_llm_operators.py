@@ -318,11 +318,53 @@ def test_toxicity_on_the_labels(spark):
     assert np.mean(caught) >= 0.8 and np.mean(flagged) >= 0.9
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(3)
-    grams, n = np.unique(rng.integers(0, 1 << 24, 3000), return_counts=True)
-    p = np.exp(quality.log_probabilities(grams, n + rng.integers(0, 5, len(n)))).reshape(-1, 64)
-    assert np.allclose(p.sum(1), 1, atol=1e-3)
+def perplexity_by_hand(trusted, text):
+    """Interpolated modified Kneser-Ney over up to five bytes, with plain dictionaries; also p(byte after context)."""
+    runs = [defaultdict(int) for _ in range(6)]
+    for t in trusted:
+        raw = b"\0" * 4 + t.encode().lower()
+        for i in range(4, len(raw)):
+            runs[5][raw[i - 4 : i + 1]] += 1
+    for k in (4, 3, 2, 1):
+        for r in runs[k + 1]:
+            runs[k][r[1:]] += 1
+    discount = [None] + [quality.discounts(*(sum(n == i for n in runs[k].values()) for i in (1, 2, 3, 4))) for k in range(1, 6)]
+    total, left = [defaultdict(float) for _ in range(6)], [defaultdict(float) for _ in range(6)]
+    for k in range(1, 6):
+        for r, n in runs[k].items():
+            total[k][r[:-1]] += n
+            left[k][r[:-1]] += discount[k][min(n, 3) - 1]
+
+    def p(r):
+        if not r:
+            return 1 / 256
+        k, n = len(r), runs[len(r)].get(r, 0)
+        if not total[k][r[:-1]]:
+            return p(r[1:])
+        return ((n - discount[k][min(n, 3) - 1] if n else 0) + left[k][r[:-1]] * p(r[1:])) / total[k][r[:-1]]
+
+    raw = b"\0" * 4 + text.encode().lower()
+    logs = [np.log(p(raw[i - 4 : i + 1])) for i in range(4, len(raw))]
+    return np.exp(-np.mean(logs)), p
+
+
+def test_quality_by_hand(spark, monkeypatch):
+    trusted = ["The cat sat on the mat. The cat ate the rat.", "Ein Hund läuft über die Straße. " * 3, "a", "aaaa aaab aaac"]
+    others = ["The dog sat on the log", "zzzz qqqq \x01", "über", "日本", "A"]
+    rows = [(i, t, "en") for i, t in enumerate(trusted + others)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(trusted))], "doc_id long, quality int")
+    want = {i: perplexity_by_hand(trusted, t)[0] for i, t, _ in rows}
+    _, p = perplexity_by_hand(trusted, "x")
+    for context in (b"\0\0\0\0", b"the ", b"zzzz", b" cat"):
+        assert sum(p(context + bytes([x])) for x in range(256)) == pytest.approx(1)
+    for entries in (quality.PART_ENTRIES, 7):
+        monkeypatch.setattr(quality, "PART_ENTRIES", entries)
+        model = quality.train(docs_.where(f"doc_id < {len(trusted)}"))
+        assert (len(model.parts) > 20) == (entries == 7)
+        got = {r.doc_id: r.perplexity for r in quality.perplexities(docs_, model).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
+    assert {r.doc_id: r.perplexity for r in quality.classify(docs_, labels).collect()} == pytest.approx(want, rel=1e-5)
 
 
 def test_quality(spark, docs, odd, none):
