@@ -6,7 +6,8 @@ sorted runs are merge-joined with the index's runs (immutable, sorted, each hash
 smallest doc_id that has it): a window is a copy if a smaller doc_id has its hash. Windows
 that are copies of one document in a row make a claim; each claim is verified word by word
 against that document's text, so a chance equality of hashes removes nothing. The batch's
-new hashes become a run of their own, and ``FANOUT`` runs are compacted into one.
+new hashes become a run of their own, and ``FANOUT`` runs are compacted into one. Runs and
+a manifest of them lie in a folder, which another session opens to go on.
 
 Batches must come in ascending order of doc_id for a result that judges every window
 against all smaller ones; inside a batch order doesn't matter.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,11 +39,12 @@ FANOUT = 4
 BLOCK_BYTES = 1 << 21
 SHARD_BYTES = 1 << 24
 MIN_SHARDS = 32
-#: The first batch of a one-shot run, as a share of the documents.
-FIRST_BATCH = 0.125
+#: The first batches of a one-shot run, as shares of the documents; their runs are compacted before the rest comes.
+FIRST_BATCHES = (0.0625, 0.125)
 #: Claims are sent to every executor up to so many rows and array entries (about 40 bytes each), else joined by a shuffle.
 BROADCAST_ENTRIES = 3_000_000
 _ROWS = "shard int, kind int, block bigint, payload binary"
+_MANIFEST = "shards int, window int, fanout int, made int, runs array<string>"
 _WINDOWS, _META, _RUN, _COPIES = range(4)
 
 
@@ -115,7 +118,7 @@ def _merge_runs(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of runs with their smallest doc_id."""
     got = [_unpack(p) for p in payloads]
     h, doc = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h, kind="stable")  # numpy's stable sort merges the sorted runs that it finds
     h, doc = h[order], doc[order]
     head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     return h[head], np.minimum.reduceat(doc, head)
@@ -184,33 +187,69 @@ def _claims(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class SubstringIndex:
-    """Runs of window hashes in a folder, and the batches that were added to them."""
+    """Runs of window hashes in a folder, and the batches that were added to them.
+
+    A manifest names the runs that count; each change writes a new one, so a job that ends
+    half-way leaves the index as it was, and another session opens it at its folder. Shards,
+    window and fan-out are the folder's once it has a manifest.
+    """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = MIN_SHARDS, window: int = WINDOW, fanout: int = FANOUT):
         if shards & (shards - 1):
             raise ValueError("shards must be a power of two")
-        self.spark, self.path, self.shards, self.window, self.fanout = spark, path, shards, window, fanout
+        self.spark, self.path, self.shards, self.window, self.fanout = spark, path.rstrip("/"), shards, window, fanout
         self.runs: list[str] = []
-        self.made = 0
-
-    def _save(self, run: DataFrame) -> None:
-        path = f"{self.path}/run-{self.made}"
+        self.made = self.version = 0
+        found = [n for n in self._names("manifest-") if self._exists(f"manifest-{n}/_SUCCESS")]
+        if found:
+            self.version = max(found)
+            last = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest-{self.version}").first()
+            self.shards, self.window, self.fanout, self.made, self.runs = last.shards, last.window, last.fanout, last.made, list(last.runs)
+        self.made = max([self.made, *(n + 1 for n in self._names("run-"))])  # a run without a manifest is left alone
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        path, _, fs = self._fs()
+        return fs.exists(path(f"{self.path}/{name}"))
+
+    def _names(self, prefix: str) -> list[int]:
+        _, root, fs = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
+
+    def _publish(self, runs: list[str]) -> None:
+        self.version += 1
+        row = (self.shards, self.window, self.fanout, self.made, runs)
+        self.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.json(f"{self.path}/manifest-{self.version}")
+        self.runs = runs
+
+    def _write(self, run: DataFrame) -> str:
+        name = f"run-{self.made}"
         self.made += 1
-        run.write.option("compression", "uncompressed").parquet(path)
-        self.runs.append(path)
+        run.write.option("compression", "uncompressed").parquet(f"{self.path}/{name}")
+        return name
 
     def _read(self) -> DataFrame:
-        return self.spark.read.schema(_ROWS).parquet(*self.runs)
+        return self.spark.read.schema(_ROWS).parquet(*(f"{self.path}/{r}" for r in self.runs))
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones stay on disk until the caller removes them."""
+        """Merge all runs into one; the old ones stay on disk, named by no manifest any more, until ``vacuum``."""
 
         def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([(int(key[0]), _RUN, 0, _pack(*_merge_runs(rows.payload.tolist())))], columns=["shard", "kind", "block", "payload"])
 
-        old = self._read()
-        self.runs = []
-        self._save(old.groupBy("shard").applyInPandas(merge, _ROWS))
+        self._publish([self._write(self._read().groupBy("shard").applyInPandas(merge, _ROWS))])
+
+    def vacuum(self) -> None:
+        """Remove the runs that the last manifest doesn't name, and older manifests; no reader may be using them."""
+        path, _, fs = self._fs()
+        gone = [f"run-{n}" for n in self._names("run-") if f"run-{n}" not in self.runs] + [f"manifest-{n}" for n in self._names("manifest-") if n != self.version]
+        for name in gone:
+            fs.delete(path(f"{self.path}/{name}"), True)
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Claims (doc_id, key, start, n, source) of a batch's windows that are copies; with ``keep`` the batch joins the index."""
@@ -222,10 +261,10 @@ class SubstringIndex:
         joined = found.groupBy("shard").applyInPandas(_join(keep), _ROWS)
         if keep:
             joined = materialize(joined, "joined")
-            self._save(joined.where(F.col("kind") == _RUN))
+            self._publish([*self.runs, self._write(joined.where(F.col("kind") == _RUN))])
         claims = joined.where(F.col("kind").isin(_META, _COPIES)).groupBy("block").applyInPandas(_claims, "doc_id bigint, key bigint, start int, n int, source bigint")
         claims = materialize(claims, "claims")
-        if len(self.runs) >= self.fanout:
+        if keep and len(self.runs) >= self.fanout:
             self.compact()
         return claims
 
@@ -325,24 +364,25 @@ def remove_copies(docs: DataFrame, claims: DataFrame, size: int = WINDOW) -> Dat
     return joined.mapInArrow(frugal(_cut(size, list(at).index("text"), list(at))), schema)
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, first_batch: float = FIRST_BATCH) -> DataFrame:
-    """All columns of ``docs`` with n_words, n_removed and kept, by adding them to a new index in two batches.
+def deduplicate(docs: DataFrame, window: int = WINDOW, first_batches: tuple[float, ...] = FIRST_BATCHES) -> DataFrame:
+    """All columns of ``docs`` with n_words, n_removed and kept, by adding them to a new index in ascending batches.
 
     Null texts have no words. Rows with a null doc_id neither lose words nor make others
     lose any. Rows that repeat a doc_id are judged each against smaller ones only. Columns
     with the names of the new ones are replaced.
     """
     spark = docs.sparkSession
-    about = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("doc_id", first_batch, 1000).alias("cut")).first()
+    about = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("doc_id", list(first_batches), 1000).alias("cuts")).first()
     shards = MIN_SHARDS
     while shards * SHARD_BYTES < (about.bytes or 0):
         shards *= 2
-    index = SubstringIndex(spark, fresh_path(spark, "substring-index"), shards, window)
-    if about.cut is None:
-        return remove_copies(docs, index.add(docs, keep=False), window)
-    older = index.add(docs.where(F.col("doc_id") <= about.cut))
-    newer = index.add(docs.where(F.col("doc_id") > about.cut), keep=False)
-    return remove_copies(docs, older.unionByName(newer), window)
+    index = SubstringIndex(spark, fresh_path(spark, "substring-index"), shards, window, max(2, len(first_batches)))
+    claims, above = [], F.lit(True)
+    for cut in sorted(set(about.cuts or [])):
+        claims.append(index.add(docs.where(above & (F.col("doc_id") <= cut))))
+        above = F.col("doc_id") > cut
+    claims.append(index.add(docs.where(above), keep=False))
+    return remove_copies(docs, reduce(DataFrame.unionByName, claims), window)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -413,6 +413,34 @@ def test_substring_batches_and_compaction(spark, odd, none):
     assert substring_dedup.deduplicate(none).count() == 0
 
 
+def test_substring_index_in_another_session(spark, monkeypatch, tmp_path):
+    """Three batches over two sessions; the second opens the folder by its manifest, beside a run that no manifest names."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 40, 25)) + (" same old passage" * 6 if i % 4 == 0 else "")) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"{tmp_path}/index"
+    first = substring_dedup.SubstringIndex(spark, path, 4, fanout=3)
+    claims = first.add(df.where("doc_id < 16"))
+    first._write(spark.createDataFrame([], substring_dedup._ROWS))  # a job that ended before its manifest
+    other = spark.newSession()
+    again = substring_dedup.SubstringIndex(other, path)
+    assert (again.runs, again.shards, again.fanout, again.made) == (["run-0"], 4, 3, 2)
+    for a, b in ((16, 32), (32, 48)):
+        claims = claims.unionByName(spark.createDataFrame(again.add(other.createDataFrame(rows, df.schema).where(f"doc_id >= {a} and doc_id < {b}")).collect(), claims.schema))
+    assert len(again.runs) == 1 and len(again._names("run-")) == 5
+    again.vacuum()
+    assert [f"run-{n}" for n in again._names("run-")] == again.runs == substring_dedup.SubstringIndex(spark, path).runs
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_copies(df, claims).collect()}
+    assert got == kept_by_hand(rows)
+
+
+def test_substring_dedup_without_broadcasts(spark, docs, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ENTRIES", 0)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(docs.select("doc_id", "text")).collect()}
+    assert got == kept_by_hand(rows)
+
+
 def test_false_claims_are_not_removed(spark):
     words_ = " ".join(f"a{i}" for i in range(20))
     df = spark.createDataFrame([(1, "other " * 20), (2, words_)], "doc_id long, text string")
