@@ -77,6 +77,25 @@ def test_topk_buckets_of_many_lengths():
             assert list(zip((-s).tolist(), got.tolist())) == want
 
 
+def test_topk_in_many_blocks(spark, monkeypatch):
+    """Several dimensions, very different lengths, one vector a third of all; small blocks, groups and first looks."""
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=6 if i % 7 else 3) * rng.lognormal(0, 1.5) * 3).tolist()) for i in range(600)]
+    rows = [(i, [1.0, 2.0, -1.0, 0.5, 0.0, 3.0]) if i % 3 == 1 else (i, v) for i, v in rows]
+    for name, value in (("BUCKET_ROWS", 40), ("QUERY_ROWS", 13), ("GROUP_BUCKETS", 3), ("PLAN_PARTS", 4), ("CHUNK_ROWS", 5)):
+        monkeypatch.setattr(topk, name, value)
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    held = {r.id: np.array(r.vector) for r in vectors.collect()}
+    want = set()
+    for q in range(0, 600, 20):
+        best = sorted((-int(held[q] @ v), i) for i, v in held.items() if i != q and len(v) == len(held[q]))[:7]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    for looks in (16, 0):
+        monkeypatch.setattr(topk, "FIRST_LOOKS", max(looks, 1))
+        monkeypatch.setattr(topk, "SEED_BYTES", 1 << 26 if looks else 1)
+        assert {tuple(r) for r in topk.top_k(vectors, lambda i: i % 20 == 0, 7).collect()} == want
+
+
 def test_topk_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (None, [1.0, 1.0]), (1, [1.0, 2.0]), (20, [0.0, 0.0]), (6, [])]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
