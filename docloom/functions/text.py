@@ -29,8 +29,8 @@ def header_level(line: Column) -> Column:
     return F.when(keyword, F.when(low.startswith("chapter"), 1).otherwise(2)).when(capitals & (n <= 8), 1).when((n <= 10) & line.endswith(":"), 2).otherwise(0)
 
 
-def paragraph_region(text: Column) -> Column:
-    """figure, table, list, formula, heading or text: the first rule that holds."""
+def paragraph_region(text: Column, level: Column | None = None) -> Column:
+    """figure, table, list, formula, heading or text: the first rule that holds. ``level`` is its header level where that is known."""
     low = F.lower(text)
     return (
         F.when(text == "", "text")
@@ -38,7 +38,7 @@ def paragraph_region(text: Column) -> Column:
         .when(text.rlike(TABLE_BORDER), "table")
         .when(text.rlike(LIST_BULLET), "list")
         .when(text.rlike(FORMULA), "formula")
-        .when(header_level(text) > 0, "heading")
+        .when((header_level(text) if level is None else level) > 0, "heading")
         .otherwise("text")
     )
 

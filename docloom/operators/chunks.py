@@ -12,8 +12,9 @@ LINES_OF_A_PAGE = 4
 
 def chunks(docs: DataFrame, lines_of_a_page: int = LINES_OF_A_PAGE) -> DataFrame:
     """One row for each non-blank line of a document, with its place, page and class; no shuffle."""
-    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = lines.select("doc_id", "source", (F.col("at") + 1).alias("pos"), F.trim("line").alias("text")).where("text <> ''")
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x))  # inside the generator, so that no later use trims again
+    rows = docs.select("doc_id", "source", F.posexplode(trimmed).alias("at", "text")).where("text <> ''")
+    rows = rows.select("doc_id", "source", (F.col("at") + 1).alias("pos"), "text", T.header_level(F.col("text")).alias("header_level"))
     return rows.select(
         F.concat_ws("_", F.lit("chunk"), "doc_id", "pos").alias("chunk_id"),
         "doc_id",
@@ -21,8 +22,8 @@ def chunks(docs: DataFrame, lines_of_a_page: int = LINES_OF_A_PAGE) -> DataFrame
         "pos",
         (F.floor((F.col("pos") - 1) / lines_of_a_page) + 1).cast("int").alias("page"),
         "text",
-        T.paragraph_region(F.col("text")).alias("region_type"),
-        T.header_level(F.col("text")).alias("header_level"),
+        T.paragraph_region(F.col("text"), F.col("header_level")).alias("region_type"),
+        "header_level",
     )
 
 

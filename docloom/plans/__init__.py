@@ -233,8 +233,7 @@ def a14(spark, sf):
 
 @query("a22_case_conflicts", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) SELECT doc_id, lower(w) AS word, count(DISTINCT w) AS forms FROM w GROUP BY ALL HAVING count(DISTINCT w) > 1")
 def a22(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
-    return w.groupBy("doc_id", F.lower("w").alias("word")).agg(F.count("*").alias("forms")).where("forms > 1")
+    return S.case_conflicts(table(spark, sf, "documents")).select("doc_id", "word", "forms")
 
 
 @query("a23_duplicate_texts", "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
@@ -400,14 +399,8 @@ def m01(spark, sf):
     return p.select("chunk_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"), F.round(T.ratio(F.col("nl"), F.col("ns")), 6).alias("length_ratio"))
 
 
-@query("m05_quantise", "SELECT vec_id, list_transform(embedding, lambda x: least(63, greatest(0, round_even(x::DOUBLE * 63, 0)))::INT)[1:8] AS levels FROM embeddings")
+@query("m05_quantise", "SELECT vec_id, list_transform(embedding, lambda x: least(63, greatest(0, round_even(x::DOUBLE * 63, 0)))::INT) AS levels FROM embeddings")
 def m05(spark, sf):
-    e = F.transform(F.slice("embedding", 1, 8), lambda x: F.least(F.lit(63.0), F.greatest(F.lit(0.0), F.bround(x.cast("double") * 63, 0))).cast("int"))
-    return table(spark, sf, "embeddings").select("vec_id", e.alias("levels"))
-
-
-@query("m05_quantise_whole", "SELECT vec_id, list_transform(embedding, lambda x: least(63, greatest(0, round_even(x::DOUBLE * 63, 0)))::INT) AS levels FROM embeddings")
-def m05_whole(spark, sf):
     e = F.transform("embedding", lambda x: F.least(F.lit(63.0), F.greatest(F.lit(0.0), F.bround(x.cast("double") * 63, 0))).cast("int"))
     return table(spark, sf, "embeddings").select("vec_id", e.alias("levels"))
 

@@ -86,12 +86,12 @@ def j03(spark, sf):
     return out.where("block_type = 'text'").select("chunk_id", "label", F.char_length("latex").cast("bigint").alias("chars"))
 
 
-_REQUESTS = "req AS (SELECT user_id AS doc, event_id AS pos, CASE event_type WHEN 'view' THEN 'hyperref' WHEN 'click' THEN 'cite' WHEN 'error' THEN 'natbib' ELSE event_type END AS package, CASE WHEN event_id % 3 = 0 THEN 'o' || event_id % 5 END AS option FROM events WHERE event_id % 7 < 3)"
+_REQUESTS = "req AS (SELECT user_id * 100 + event_id % 29 AS doc, event_id AS pos, CASE event_type WHEN 'view' THEN 'hyperref' WHEN 'click' THEN 'cite' WHEN 'error' THEN 'natbib' ELSE event_type END AS package, CASE WHEN event_id % 3 = 0 THEN 'o' || event_id % 5 END AS option FROM events)"
 
 
 def _requests(spark, sf):
     name = F.when(F.col("event_type") == "view", "hyperref").when(F.col("event_type") == "click", "cite").when(F.col("event_type") == "error", "natbib").otherwise(F.col("event_type"))
-    return table(spark, sf, "events").where("event_id % 7 < 3").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), name.alias("package"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("o"), F.col("event_id") % 5)).alias("option"))
+    return table(spark, sf, "events").select((F.col("user_id") * 100 + F.col("event_id") % 29).alias("doc"), F.col("event_id").alias("pos"), name.alias("package"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("o"), F.col("event_id") % 5)).alias("option"))
 
 
 _PLACED = "SELECT doc, package, option, row_number() OVER (PARTITION BY doc ORDER BY (package = 'hyperref')::INT, first) AS place FROM o"

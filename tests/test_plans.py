@@ -40,7 +40,7 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_every_component_is_quantised(spark):
     want = {r.vec_id: [int(min(63, max(0, round(x * 63)))) for x in r.embedding] for r in plans.table(spark, SF, "embeddings").collect()}
-    got = {r.vec_id: r.levels for r in plans.QUERIES["m05_quantise_whole"](spark, SF).collect()}
+    got = {r.vec_id: r.levels for r in plans.QUERIES["m05_quantise"](spark, SF).collect()}
     assert got == want and {len(v) for v in got.values()} == {64}
 
 
