@@ -23,10 +23,14 @@ def _any(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, {_quote(w)})" for w in words) + ")"
 
 
-def _planted(marks, n: str = "doc_id"):
-    """A SQL CASE and a column that pick one of ``marks`` by a number's remainder."""
-    sql = f"CASE {n} % {len(marks)} " + " ".join(f"WHEN {i} THEN {_quote(m)}" for i, m in enumerate(marks)) + " END"
-    return sql, F.element_at(F.array(*(F.lit(m) for m in marks)), (F.col(n) % len(marks) + 1).cast("int"))
+def _case(marks, n: str = "doc_id") -> str:
+    """SQL that picks one of ``marks`` by a number's remainder."""
+    return f"CASE {n} % {len(marks)} " + " ".join(f"WHEN {i} THEN {_quote(m)}" for i, m in enumerate(marks)) + " END"
+
+
+def _pick(marks, n: str = "doc_id"):
+    """The same as a column."""
+    return F.element_at(F.array(*(F.lit(m) for m in marks)), (F.col(n) % len(marks) + 1).cast("int"))
 
 
 # Domains and styles
@@ -43,13 +47,13 @@ def _domain_sql() -> str:
     best = f"greatest({', '.join(names)})"
     pick = "CASE " + " ".join(f"WHEN {d} = {best} THEN '{d}'" for d in names) + " END"
     positive = " + ".join(f"greatest({d}, 0)" for d in names)
-    return f"""WITH dom0 AS (SELECT doc_id, region_type, text || {_planted(_TOPICS, 'pos')[0]} AS t FROM chunks), dom AS (SELECT *, lower(t) AS low FROM dom0), {total}, {score}
+    return f"""WITH dom0 AS (SELECT doc_id, region_type, text || {_case(_TOPICS, 'pos')} AS t FROM chunks), dom AS (SELECT *, lower(t) AS low FROM dom0), {total}, {score}
 SELECT doc_id, round(math, 6) AS math_density, round(algorithm, 6) AS algorithm_density, round(citation, 6) AS citation_density, round(phys, 6) AS physics_density, {', '.join(names)}, {pick} AS domain, round({best} / CASE WHEN {positive} = 0 THEN 1 ELSE {positive} END, 6) AS confidence FROM s"""
 
 
 @query("a09_a10_domains", _domain_sql(), True)
 def a09(spark, sf):
-    c = _chunks(spark, sf).withColumn("t", F.concat("text", _planted(_TOPICS, "pos")[1]))
+    c = _chunks(spark, sf).withColumn("t", F.concat("text", _pick(_TOPICS, "pos")))
     return S.domains(c.select("doc_id", "region_type", "t"), "t")
 
 
@@ -66,14 +70,14 @@ def _style_sql() -> str:
     scores = {d: _hits("low", w) for d, w in P.STYLE_WORDS.items()}
     best = f"greatest({', '.join(scores.values())})"
     pick = f"CASE WHEN {best} <= 0 THEN 'default' " + " ".join(f"WHEN {s} = {best} THEN '{d}'" for d, s in scores.items()) + " END"
-    return f"""WITH st AS (SELECT doc_id, coalesce(text, '') || {_planted(_STYLES)[0]} AS t, (doc_id * 7 % 97 + 1)::INT AS pages FROM documents), {f}
+    return f"""WITH st AS (SELECT doc_id, coalesce(text, '') || {_case(_STYLES)} AS t, (doc_id * 7 % 97 + 1)::INT AS pages FROM documents), {f}
     SELECT doc_id, total::INT AS total_blocks, sections::INT AS section_blocks, (figures // 2)::INT AS figure_blocks, (tables // 2)::INT AS table_blocks, equations::INT AS equation_blocks, text_tokens::INT AS text_tokens, math_tokens::INT AS math_tokens, b::INT AS bracket_citations, p::INT AS paren_citations, reference_markers::INT AS reference_markers,
       doc_type, CASE WHEN b / cites > 0.55 AND sections >= 3 THEN 'ieee' WHEN p / cites > 0.45 AND doc_type IN ('article', 'report') THEN 'acm' WHEN doc_type IN ('book', 'thesis', 'textbook') THEN 'springer' ELSE 'generic' END AS style_family, {pick} AS domain FROM f2"""
 
 
 @query("a11_r49_x16_styles", _style_sql())
 def a11(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), _planted(_STYLES)[1]).alias("t"), (F.col("doc_id") * 7 % 97 + 1).cast("int").alias("pages"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), _pick(_STYLES)).alias("t"), (F.col("doc_id") * 7 % 97 + 1).cast("int").alias("pages"))
     features = P.style_features(F.col("t"))
     d = d.select("*", *(v.alias(k) for k, v in features.items())).withColumn("doc_type", P.document_type(F.col("t"), F.col("pages")))
     return d.select("doc_id", *features, "doc_type", P.style_family(F.col("doc_type")).alias("style_family"), P.style_domain(F.col("t")).alias("domain"))
@@ -83,10 +87,10 @@ _CLASSES = ("Book", "article", "beamer", "letter", "memoir ")
 _ASKED = ("", "technical-report", "unknown")
 
 
-@query("r53_typography", f"""WITH k AS (SELECT doc_id, lower(trim({_planted(_CLASSES)[0]})) AS c, {_planted(_ASKED)[0]} AS a FROM documents)
+@query("r53_typography", f"""WITH k AS (SELECT doc_id, lower(trim({_case(_CLASSES)})) AS c, {_case(_ASKED)} AS a FROM documents)
 SELECT doc_id, CASE WHEN a IN ('scholarly-serif', 'technical-report', 'presentation-sans') THEN a WHEN c IN ('book', 'report', 'memoir') THEN 'scholarly-serif' WHEN c IN ('article', 'elsarticle', 'siamart', 'ieeetran') THEN 'technical-report' WHEN c IN ('beamer', 'metropolis') THEN 'presentation-sans' ELSE 'scholarly-serif' END AS profile FROM k""")
 def r53(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.typography_profile(_planted(_CLASSES)[1], _planted(_ASKED)[1]).alias("profile"))
+    return table(spark, sf, "documents").select("doc_id", P.typography_profile(_pick(_CLASSES), _pick(_ASKED)).alias("profile"))
 
 
 # Classes of blocks
@@ -94,27 +98,27 @@ def r53(spark, sf):
 _OPENINGS = ("Question 3 ", "solution ", "Fig. 2 ", "Table of ", "- ", "", "q (a) ")
 
 
-@query("r04_layout_classes", rf"""WITH b AS (SELECT chunk_id, {_planted(_OPENINGS, 'pos')[0]} || text AS t, 6 + pos * 5 % 20 AS size FROM chunks)
+@query("r04_layout_classes", rf"""WITH b AS (SELECT chunk_id, {_case(_OPENINGS, 'pos')} || text AS t, 6 + pos * 5 % 20 AS size FROM chunks)
 SELECT chunk_id, CASE WHEN regexp_matches(lower(trim(t)), '^(question|q)\s*([0-9]+[a-z]?|\([^)]+\))') THEN 'question' WHEN regexp_matches(lower(trim(t)), '^(answer|solution)\b') THEN 'answer' WHEN starts_with(lower(trim(t)), 'figure') OR starts_with(lower(trim(t)), 'fig.') THEN 'figure'
   WHEN starts_with(lower(trim(t)), 'table') OR regexp_matches(t, '(\+[-+]+\+)|(\|.+\|)') THEN 'table' WHEN regexp_matches(trim(t), '^([0-9]+\.[\)\s]|[A-Za-z]\.|[-*•])\s+') THEN 'list' WHEN size >= 18 THEN 'heading' WHEN regexp_matches(t, '(\\begin\{{equation\}}|\\frac|\\sum|\\int|=|\[a-z]+)') THEN 'formula' ELSE 'text' END AS kind FROM b""", True)
 def r04(spark, sf):
-    return _chunks(spark, sf).select("chunk_id", P.layout_class(F.concat(_planted(_OPENINGS, "pos")[1], "text"), 6 + F.col("pos") * 5 % 20).alias("kind"))
+    return _chunks(spark, sf).select("chunk_id", P.layout_class(F.concat(_pick(_OPENINGS, "pos"), "text"), 6 + F.col("pos") * 5 % 20).alias("kind"))
 
 
 _TAGS = ("question", "answer", "equation", "figure", "table", "text", "text")
 _BEGINNINGS = ("Proof. ", "Theorem ", "lemma ", "", "so ")
 
 
-@query("r08_content_types", f"""WITH b AS (SELECT chunk_id, {_planted(_TAGS, 'pos')[0]} AS tag, lower(trim({_planted(_BEGINNINGS, 'pos')[0]} || text)) AS low FROM chunks)
+@query("r08_content_types", f"""WITH b AS (SELECT chunk_id, {_case(_TAGS, 'pos')} AS tag, lower(trim({_case(_BEGINNINGS, 'pos')} || text)) AS low FROM chunks)
 SELECT chunk_id, CASE tag WHEN 'question' THEN 'question_block' WHEN 'answer' THEN 'answer_block' WHEN 'equation' THEN 'display_equation' WHEN 'figure' THEN 'figure' WHEN 'table' THEN 'table' ELSE CASE WHEN starts_with(low, 'proof') THEN 'proof_block' WHEN starts_with(low, 'theorem') OR starts_with(low, 'lemma') THEN 'theorem_block' ELSE 'paragraph' END END AS kind FROM b""", True)
 def r08(spark, sf):
-    return _chunks(spark, sf).select("chunk_id", P.content_type(_planted(_TAGS, "pos")[1], F.concat(_planted(_BEGINNINGS, "pos")[1], "text")).alias("kind"))
+    return _chunks(spark, sf).select("chunk_id", P.content_type(_pick(_TAGS, "pos"), F.concat(_pick(_BEGINNINGS, "pos"), "text")).alias("kind"))
 
 
 @query("m19_view_scores", rf"""WITH v AS (SELECT chunk_id, region_type, lower(text) || ' ' || CASE pos % 3 WHEN 0 THEN 'two column grid' WHEN 1 THEN 'an equation with a symbol' ELSE 'plain' END AS t, CASE WHEN pos % 4 = 0 THEN 0.5 ELSE 0 END AS role FROM chunks)
 SELECT chunk_id, round(greatest(0, least(1, {_hits('t', P.LAYOUT_VIEW_WORDS)} / 2 + CASE WHEN region_type IN ('section', 'table') THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS layout, round(greatest(0, least(1, ({_hits('t', P.MATH_VIEW_WORDS)} + CASE WHEN region_type IN ('equation', 'formula') THEN 1 ELSE 0 END + role) / 2)), 6)::DOUBLE AS math FROM v""", True)
 def m19(spark, sf):
-    view = _planted(("two column grid", "an equation with a symbol", "plain"), "pos")[1]
+    view = _pick(("two column grid", "an equation with a symbol", "plain"), "pos")
     layout, math = P.view_scores(F.array("text", view), F.col("region_type"), F.when(F.col("pos") % 4 == 0, "proof"))
     return _chunks(spark, sf).select("chunk_id", F.round(layout, 6).alias("layout"), F.round(math, 6).alias("math"))
 
@@ -183,11 +187,11 @@ def f26(spark, sf):
 _MODALITIES = ("pdf", "page-image", "json", "audio")
 
 
-@query("f31_manifests", f"""WITH p AS (SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(p_name), '[^0-9a-z]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'dataset') AS slug, {_planted(_MODALITIES, 'p_partkey')[0]} AS m FROM part)
+@query("f31_manifests", f"""WITH p AS (SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(p_name), '[^0-9a-z]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'dataset') AS slug, {_case(_MODALITIES, 'p_partkey')} AS m FROM part)
 SELECT p_partkey, slug, 'raw/' || slug || '/' || CASE m WHEN 'pdf' THEN 'pdf' WHEN 'page-image' THEN 'images' WHEN 'json' THEN 'annotations' ELSE m END AS path FROM p""")
 def f31(spark, sf):
     slug = P.dataset_slug(F.col("p_name"))
-    return table(spark, sf, "part").select("p_partkey", slug.alias("slug"), F.concat(F.lit("raw/"), slug, F.lit("/"), P.modality_folder(_planted(_MODALITIES, "p_partkey")[1])).alias("path"))
+    return table(spark, sf, "part").select("p_partkey", slug.alias("slug"), F.concat(F.lit("raw/"), slug, F.lit("/"), P.modality_folder(_pick(_MODALITIES, "p_partkey"))).alias("path"))
 
 
 @query("j11_expression_matches", r"""WITH e AS (SELECT doc_id, regexp_replace('x = ' || pos % 4, '\s+', '', 'g') AS s, regexp_replace('x  =' || pos % 6, '\s+', '', 'g') AS g FROM chunks WHERE region_type <> 'text' OR pos % 2 = 0)

@@ -11,7 +11,7 @@ from docloom.operators import control as K
 from docloom.plans import _chunks, query, table
 from docloom.plans.latex import SNIPPETS, _over, _replaced, _snippets
 from docloom.plans.markup import _HEAD, _injected_sql, _lit
-from docloom.plans.profiles import _planted
+from docloom.plans.profiles import _case, _pick
 from docloom.sources import files as S
 from docloom.sources import layouts as Y
 
@@ -182,11 +182,11 @@ def x14(spark, sf):
 _STRETCH = ("1.1", "", "1.3")
 
 
-@query("x11_typography_rules", f"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'book' WHEN 1 THEN 'article' WHEN 2 THEN 'beamer' ELSE 'letter' END AS c, {_planted(_STRETCH)[0]} AS s FROM documents), p AS (SELECT *, CASE c WHEN 'article' THEN 'technical-report' WHEN 'beamer' THEN 'presentation-sans' ELSE 'scholarly-serif' END AS p FROM d)
+@query("x11_typography_rules", f"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'book' WHEN 1 THEN 'article' WHEN 2 THEN 'beamer' ELSE 'letter' END AS c, {_case(_STRETCH)} AS s FROM documents), p AS (SELECT *, CASE c WHEN 'article' THEN 'technical-report' WHEN 'beamer' THEN 'presentation-sans' ELSE 'scholarly-serif' END AS p FROM d)
 SELECT doc_id, CASE p WHEN 'scholarly-serif' THEN '\\usepackage{{newtxtext}}' WHEN 'presentation-sans' THEN '\\usepackage{{libertine}}' ELSE '\\usepackage{{mathpazo}}' END || CASE WHEN p <> 'presentation-sans' THEN '|\\usepackage{{microtype}}' ELSE '' END || CASE WHEN s <> '' THEN '|\\linespread{{' || s || '}}' ELSE '' END || CASE WHEN p = 'scholarly-serif' OR c = 'article' THEN '|\\emergencystretch=1em' ELSE '' END || '|\\usepackage{{csquotes}}' AS directives FROM p""")
 def x11(spark, sf):
-    kind = _planted(("book", "article", "beamer", "letter"))[1]
-    stretch = _planted(_STRETCH)[1]
+    kind = _pick(("book", "article", "beamer", "letter"))
+    stretch = _pick(_STRETCH)
     options = F.map_filter(F.create_map(F.lit("line_stretch"), stretch), lambda _, v: v != "")
     return table(spark, sf, "documents").select("doc_id", F.array_join(E.typography(kind, F.lit(None).cast("string"), options), "|").alias("directives"))
 

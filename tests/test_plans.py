@@ -49,3 +49,11 @@ def test_entry_points(spark):
 
     assert set(plans.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_entry_points_import_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and len(e.oracle_sql()) > 200"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
