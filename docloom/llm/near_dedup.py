@@ -7,7 +7,8 @@ connected components returned.
 Links are found without comparing all pairs. Equal fingerprints are one row first. The
 64 bits are cut into ``max_distance + 2`` segments: two fingerprints in reach agree on
 two segments at least, so each fingerprint is dealt to one block for each pair of
-segments, and every linked pair meets in a block. Inside a block the distances of its
+segments, and every linked pair meets in a block. Of very many fingerprints more segments
+are made and more must agree, so blocks stay small. Inside a block the distances of its
 members to ``PIVOTS`` reference fingerprints are tabled; a pair whose coordinates differ
 by more than ``max_distance`` anywhere is discarded (triangle inequality), and the
 survivors are verified by their own Hamming distance. A block emits at most one link for
@@ -40,6 +41,8 @@ PIVOTS = 32
 #: Blocks of up to so many members are compared pairwise; larger ones by search from linked members.
 SMALL_BLOCK = 48
 _BUFFER = 1 << 16
+#: Members of a block that more segments are made beyond, were fingerprints spread evenly.
+EXPECTED_BLOCK = 4096
 #: Internal column of texts' marks.
 MARK = "__docloom_mark"
 #: For ``similar_documents``: words of a shingle, the least similarity, and the MinHash bands.
@@ -85,13 +88,21 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return rows.mapInArrow(frugal(run), f"id {kind}, fingerprint bigint")
 
 
-def _segments(max_distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments of 64 bits."""
-    n = max_distance + 2
+def _segments(max_distance: int, agree: int) -> list[tuple[int, int]]:
+    """(shift, width) of the segments of 64 bits, ``agree`` more than bits may differ."""
+    n = max_distance + agree
     cuts = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _agreement(count: int, max_distance: int) -> int:
+    """How many segments a block's members share: so many that a block of fingerprints spread evenly has about EXPECTED_BLOCK members at most."""
+    agree = 2
+    while agree < 6 and count >> (64 * agree // (max_distance + agree)) > EXPECTED_BLOCK:
+        agree += 1
+    return agree
+
+
 def pivots(count: int = PIVOTS) -> np.ndarray:
     """The reference fingerprints."""
     return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -178,10 +189,12 @@ def _link(most: int):
 
 def links(marks: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Links (a < b, BIGINT) between distinct fingerprints; every two in reach are joined by a path of links."""
-    keys = []
-    for t, ((s1, w1), (s2, w2)) in enumerate(combinations(_segments(max_distance), 2)):
-        part = [F.shiftrightunsigned("fingerprint", s).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")) for s, w in ((s1, w1), (s2, w2))]
-        keys.append(F.lit(t << 40).cast("bigint") + F.shiftleft(part[0], w2) + part[1])
+    agree, keys = _agreement(marks.count(), max_distance), []
+    for t, shared in enumerate(combinations(_segments(max_distance, agree), agree)):
+        key = F.lit(0).cast("bigint")
+        for shift, width in shared:
+            key = F.shiftleft(key, width) + F.shiftrightunsigned("fingerprint", shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+        keys.append(F.lit(t << 40).cast("bigint") + key)
     dealt = marks.select(F.explode(F.array(*keys)).alias("key"), "fingerprint")
     n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "key").sortWithinPartitions("key", "fingerprint").mapInArrow(frugal(_link(max_distance)), "a bigint, b bigint").distinct()

@@ -168,6 +168,32 @@ def test_simhash_by_hand(docs, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_more_segments_link_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    marks = [int(b) for b in base] + [int(b) ^ sum(1 << int(x) for x in rng.choice(63, rng.integers(1, 7), False)) for b in base for _ in range(3)]
+    frame = spark.createDataFrame([(m,) for m in set(marks)], "fingerprint long")
+
+    def groups():
+        group = {m: m for m in marks}
+        found = [tuple(r) for r in near_dedup.links(frame).collect()]
+        for _ in marks:
+            for a, b in found:
+                group[a] = group[b] = min(group[a], group[b])
+        return group
+
+    want = {m: m for m in marks}
+    for _ in range(6):
+        for a in marks:
+            for b in marks:
+                if (a ^ b).bit_count() <= 4:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert near_dedup._agreement(10**6, 4) == 2 and near_dedup._agreement(10**11, 4) == 3 and near_dedup._agreement(10**13, 4) == 4
+    for agree in (2, 3, 5):
+        monkeypatch.setattr(near_dedup, "_agreement", lambda *_, agree=agree: agree)
+        assert groups() == want
+
+
 def test_similar_documents_by_brute_force(spark, docs, odd, none):
     sets = {}
     for r in docs.collect():
