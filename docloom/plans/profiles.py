@@ -385,3 +385,55 @@ SELECT doc_id, style, raw, trim(regexp_replace(substr(t, greatest(1, p - 60), le
 def r26(spark, sf):
     t = F.concat(F.lit("As shown [12] and \\cite{aa, bb} before\n"), "text", F.lit(" (Doe, 2001) ends"))
     return S.citation_contexts(table(spark, sf, "documents").select("doc_id", t.alias("text")))
+
+
+def _gate_case(d: str) -> str:
+    limits = {k: v[d] for k, v in S.THRESHOLDS.items()}
+    return f"CASE WHEN {d} < CASE doc_type WHEN 'math' THEN {limits['math']} WHEN 'reference' THEN {limits['reference']} ELSE {limits['narrative']} END::DOUBLE THEN '{d}' END"
+
+
+@query("m08_m09_m10_m12_all_inputs", f"""WITH z AS (SELECT *, {_NOISE} AS noise, CASE region_type WHEN 'table' THEN 1.35 WHEN 'figure' THEN 1.25 WHEN 'formula' THEN 1.15 WHEN 'heading' THEN 0.95 ELSE 1.0 END::DOUBLE AS weight FROM chunks),
+p AS (SELECT doc_id, CASE WHEN avg((region_type = 'formula')::INT) >= 0.25 THEN 'math' WHEN avg((region_type = 'figure')::INT) >= 0.3 THEN 'reference' ELSE 'narrative' END AS doc_type, round(avg(least(1.0::DOUBLE, length(text) / 100.0::DOUBLE)), 6) AS semantic, round(avg(1.0::DOUBLE - noise), 6) AS content, round(count(DISTINCT page) / max(page), 6) AS structural,
+  round(greatest(0, 1.0::DOUBLE - 0.4::DOUBLE * count(*) FILTER (region_type = 'table') / count(DISTINCT page)), 6) AS visual, round(avg(0.4::DOUBLE + 0.6::DOUBLE * least(1.0::DOUBLE, (6 + pos * 5 % 20) / 24.0::DOUBLE)), 6) AS confidence, max(noise) > 0.45 AS errors, round(avg(weight) / 1.35::DOUBLE, 6) AS aesthetic FROM z GROUP BY doc_id),
+o AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.3::DOUBLE * structural + 0.3::DOUBLE * content + 0.2::DOUBLE * visual + 0.2::DOUBLE * semantic) * (0.85::DOUBLE + 0.15::DOUBLE * confidence) - CASE WHEN errors THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END)), 5) AS overall FROM p),
+r AS (SELECT *, round(0.9::DOUBLE * (0.5::DOUBLE * CASE WHEN errors THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END + 0.3::DOUBLE * semantic + 0.2::DOUBLE * aesthetic) + 0.1::DOUBLE * overall, 5) AS reward FROM o),
+g AS (SELECT *, list_filter([{', '.join(_gate_case(d) for d in ('semantic', 'content', 'structural', 'visual', 'reward'))}], lambda x: x IS NOT NULL) AS failed FROM r)
+SELECT doc_id, doc_type, overall, reward, round((semantic + content + structural + visual + overall) / 5, 4) AS aggregate, array_to_string(failed, ',') AS failed, len(failed) = 0 AS passed FROM g""", True)
+def m08(spark, sf):
+    from docloom.operators import fusion as X
+
+    noise, c = T.noise_score(F.col("text")), F.col
+    rows = _chunks(spark, sf).withColumn("noise", noise)
+    share = lambda k: F.avg((c("region_type") == k).cast("int"))
+    size = (6 + c("pos") * 5 % 20) / 24.0
+    p = rows.groupBy("doc_id").agg(
+        F.when(share("formula") >= 0.25, "math").when(share("figure") >= 0.3, "reference").otherwise("narrative").alias("doc_type"),
+        F.round(F.avg(F.least(F.lit(1.0), F.char_length("text") / 100.0)), 6).alias("semantic"),
+        F.round(F.avg(1.0 - c("noise")), 6).alias("content"),
+        F.round(F.countDistinct("page") / F.max("page"), 6).alias("structural"),
+        F.round(F.greatest(F.lit(0.0), 1.0 - F.lit(0.4) * F.count_if(c("region_type") == "table") / F.countDistinct("page")), 6).alias("visual"),
+        F.round(F.avg(0.4 + 0.6 * F.least(F.lit(1.0), size)), 6).alias("confidence"),
+        (F.max("noise") > 0.45).alias("errors"),
+        F.round(F.avg(T.region_weight(c("region_type"))) / 1.35, 6).alias("aesthetic"),
+    )
+    p = p.withColumn("overall", F.round(X.overall(c("structural"), c("content"), c("visual"), c("semantic"), c("confidence"), c("errors")), 5))
+    p = p.withColumn("reward", F.round(X.reward(F.when(c("errors"), -1.0).otherwise(1.0), c("semantic"), c("aesthetic"), c("overall")), 5))
+    mean = (c("semantic") + c("content") + c("structural") + c("visual") + c("overall")) / 5
+    return S.gate(p, "doc_type").select("doc_id", "doc_type", "overall", "reward", F.round(mean, 4).alias("aggregate"), F.array_join("failed", ",").alias("failed"), "passed")
+
+
+@query("a16_all_inputs", f"""WITH z AS (SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - {_NOISE}) AS clear, CASE WHEN source = 'src0' THEN 1.0 WHEN source = 'src1' THEN 0.1 ELSE 0.6 END::DOUBLE AS ocr, CASE WHEN count(*) OVER (PARTITION BY doc_id, page, lower(text)) > 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS consensus, CASE pos % 4 WHEN 0 THEN region_type WHEN 1 THEN 'table' WHEN 2 THEN '' END AS vision FROM chunks),
+q AS (SELECT doc_id, 0.7::DOUBLE * avg(ocr) + 0.3::DOUBLE * avg(consensus) AS ocr, avg(clear) AS clarity, count(vision) / count(*) AS signal, count(vision) AS links, count(*) FILTER (CASE WHEN vision IS NOT NULL THEN vision <> '' AND vision <> region_type ELSE region_type IN ('figure', 'equation', 'table') END) / count(*) AS missed, greatest(0, 1.0::DOUBLE - count(*) FILTER (region_type IN ('figure', 'table')) / count(DISTINCT page) * 0.4::DOUBLE) AS image FROM z GROUP BY doc_id),
+a AS (SELECT *, (ocr + image + clarity + signal) / 4 AS aggregate, CASE WHEN links = 0 THEN 1.0::DOUBLE ELSE greatest(0, 1.0::DOUBLE - missed) END AS consistency FROM q)
+SELECT doc_id, round(ocr, 6) AS ocr, round(image, 6) AS image, round(clarity, 6) AS clarity, round(signal, 6) AS signal, round(aggregate, 6) AS aggregate, CASE WHEN aggregate <= 0.45 THEN 'low' WHEN aggregate >= 0.75 THEN 'high' ELSE 'medium' END AS tier, CASE WHEN signal < 0.2 THEN 'ocr-only' WHEN consistency < 0.5 THEN 'vision-scout' WHEN signal >= 0.6 AND consistency >= 0.6 THEN 'vision-hybrid' ELSE 'vision-scout' END AS strategy FROM a""", True)
+def a16(spark, sf):
+    from docloom.operators import fusion as X
+
+    c, p = F.col, F.col("pos")
+    again = F.count("*").over(Window.partitionBy("doc_id", "page", F.lower("text"))) > 1
+    rows = _chunks(spark, sf).select("*", F.greatest(F.lit(0.0), 1.0 - T.noise_score(c("text"))).alias("clear"), F.when(c("source") == "src0", 1.0).when(c("source") == "src1", 0.1).otherwise(0.6).alias("ocr"), F.when(again, 1.0).otherwise(0.5).alias("consensus"), F.when(p % 4 == 0, c("region_type")).when(p % 4 == 1, "table").when(p % 4 == 2, "").alias("vision"))
+    missed = F.when(c("vision").isNotNull(), (c("vision") != "") & (c("vision") != c("region_type"))).otherwise(c("region_type").isin("figure", "equation", "table"))
+    q = rows.groupBy("doc_id").agg((0.7 * F.avg("ocr") + 0.3 * F.avg("consensus")).alias("ocr"), F.avg("clear").alias("clarity"), (F.count("vision") / F.count("*")).alias("signal"), F.count("vision").alias("links"), (F.count_if(missed) / F.count("*")).alias("missed"), F.greatest(F.lit(0.0), 1.0 - F.count_if(c("region_type").isin("figure", "table")) / F.countDistinct("page") * 0.4).alias("image"))
+    q = q.withColumn("a", (c("ocr") + c("image") + c("clarity") + c("signal")) / 4)
+    consistency = F.when(c("links") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - c("missed")))
+    return q.select("doc_id", *(F.round(x, 6).alias(x) for x in ("ocr", "image", "clarity", "signal")), F.round("a", 6).alias("aggregate"), X.tier(c("a")).alias("tier"), X.branch_strategy(c("signal"), consistency).alias("strategy"))
