@@ -201,3 +201,68 @@ def x05(spark, sf):
 def m14(spark, sf):
     c = table(spark, sf, "events").groupBy("user_id").agg(F.avg((F.col("event_type") == "error").cast("double")).alias("errors"), F.countDistinct("event_type").alias("kinds"))
     return c.select("user_id", E.adaptive_choice(c, {"callback": F.col("errors") > 0.2, "rule": F.col("kinds") < 5}, "weighted").alias("strategy"))
+
+
+@query("s19_j20_labelled_tokens", r"""WITH a AS (SELECT doc_id, pos AS apos, region_type || pos % 2 AS label FROM chunks WHERE pos % 3 = 0), c AS (SELECT k.doc_id, k.pos, k.text, arg_min(a.label, a.apos) AS label FROM chunks k LEFT JOIN a ON a.doc_id = k.doc_id AND k.pos * 10 + 5 BETWEEN apos * 10 AND apos * 10 + 25 GROUP BY ALL),
+w AS (SELECT doc_id, pos, coalesce(label, 'O') AS tag, unnest(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) AS t, generate_subscripts(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> ''), 1) AS i FROM c)
+SELECT doc_id AS image_id, string_agg(t, ' ' ORDER BY pos, i) AS tokens, string_agg(tag, ' ' ORDER BY pos, i) AS tags, string_agg(least(1000, floor(pos * 10 / 1025 * 1000))::INT, ',' ORDER BY pos, i) AS tops FROM w GROUP BY doc_id""", True)
+def s19(spark, sf):
+    c, top = _chunks(spark, sf), F.col("pos") * 10
+    box = lambda w, h: (F.lit(0).alias("x"), top.alias("y"), F.lit(w).alias("w"), F.lit(h).alias("h"))
+    key = (F.col("doc_id").alias("image_id"), F.col("pos").alias("at"))
+    annotations = c.where("pos % 3 = 0").select(*key, F.concat("region_type", F.col("pos") % 2).alias("label"), *box(500, 25))
+    out = Y.labelled_tokens(c.select(*key, "text", *box(400, 10)), annotations)
+    return out.select("image_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("ner_tags", " ").alias("tags"), F.array_join(F.transform("bboxes", lambda b: b[1].cast("string")), ",").alias("tops"))
+
+
+@query("e04_keep_alive", "WITH g AS (SELECT user_id, event_id, ceil((epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 3600000000)::INT AS n FROM events) SELECT user_id, event_id, unnest(range(1, n))::INT AS ping FROM g WHERE n > 1")
+def e04(spark, sf):
+    from docloom.streaming import keep_alive
+
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return keep_alive(e, "user_id", 3600)
+
+
+_VIEWS = "v AS (SELECT chunk_id, 'full' AS kind, length(text) AS score FROM chunks WHERE pos % 3 > 0 UNION ALL SELECT chunk_id, 'detail', pos FROM chunks WHERE pos % 3 = 2)"
+
+
+def _views(spark, sf):
+    c = _chunks(spark, sf)
+    full = c.where("pos % 3 > 0").select("chunk_id", F.lit("full").alias("kind"), F.char_length("text").alias("score"))
+    return c, full.unionByName(c.where("pos % 3 = 2").select("chunk_id", F.lit("detail").alias("kind"), F.col("pos").alias("score")))
+
+
+@query("j22_attached_views", _over("SELECT c.chunk_id, coalesce(string_agg(kind || ':' || score, ',' ORDER BY kind), '') AS views, count(kind)::INT AS n FROM chunks c LEFT JOIN v USING (chunk_id) GROUP BY c.chunk_id", _VIEWS), True)
+def j22(spark, sf):
+    c, views = _views(spark, sf)
+    held = views.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("kind", "score"))).alias("v"))
+    shown = F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["kind"], x["score"].cast("string"))), ",")
+    return c.join(held, "chunk_id", "left").select("chunk_id", F.coalesce(shown, F.lit("")).alias("views"), F.coalesce(F.when(F.col("v").isNotNull(), F.size("v")), F.lit(0)).alias("n"))
+
+
+@query("a27_view_summary", _over("SELECT count(*) AS views, count(DISTINCT chunk_id) AS chunks, count(DISTINCT kind) AS kinds, round(count(*) / count(DISTINCT chunk_id), 6) AS views_a_chunk FROM v", _VIEWS), True)
+def a27(spark, sf):
+    _, views = _views(spark, sf)
+    return views.agg(F.count("*").alias("views"), F.countDistinct("chunk_id").alias("chunks"), F.countDistinct("kind").alias("kinds"), F.round(F.count("*") / F.countDistinct("chunk_id"), 6).alias("views_a_chunk"))
+
+
+@query("f28_evaluations", _over("SELECT chunk_id, CASE WHEN length(latex) < 20 OR pos % 5 = 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE WHEN length(latex) < 20 THEN 'snippet too short' WHEN pos % 5 = 0 THEN 'requires manual inspection' ELSE 'meets heuristic constraints' END AS notes FROM snips", SNIPPETS), True)
+def f28(spark, sf):
+    s, repaired = _snippets(spark, sf), F.col("pos") % 5 == 0
+    short = F.char_length("latex") < 20
+    return s.select("chunk_id", F.when(short | repaired, "FAIL").otherwise("PASS").alias("verdict"), F.when(short, "snippet too short").when(repaired, "requires manual inspection").otherwise("meets heuristic constraints").alias("notes"))
+
+
+@query("t16_report_caps", "WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS j FROM events) SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY k) FILTER (k <= 32) AS entries, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY k) FILTER (event_type = 'error' AND j <= 5), '') AS issues FROM r GROUP BY user_id")
+def t16(spark, sf):
+    w = Window.partitionBy("user_id")
+    e = table(spark, sf, "events").withColumn("k", F.row_number().over(w.orderBy("ts", "event_id"))).withColumn("j", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
+    first = lambda holds: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(holds, F.struct("k", "event_id")))), lambda x: x["event_id"].cast("string")), ",")
+    return e.where("k <= 32 or (event_type = 'error' and j <= 5)").groupBy("user_id").agg(first(F.col("k") <= 32).alias("entries"), first((F.col("event_type") == "error") & (F.col("j") <= 5)).alias("issues"))
+
+
+@query("t20_first_full_heading", "WITH h AS (SELECT doc_id, chunk_id, pos, pos % 4 < 2 AS head, lead(pos % 4 < 2) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM chunks) SELECT doc_id, arg_min(chunk_id, pos) AS chunk_id FROM h WHERE head AND NOT next GROUP BY doc_id", True)
+def t20(spark, sf):
+    head = F.col("pos") % 4 < 2
+    h = _chunks(spark, sf).select("doc_id", "chunk_id", "pos", head.alias("head"), F.lead(head).over(Window.partitionBy("doc_id").orderBy("pos")).alias("next"))
+    return h.where("head and not next").groupBy("doc_id").agg(F.min_by("chunk_id", "pos").alias("chunk_id"))

@@ -85,3 +85,17 @@ def dotted(payload: Column, path: str) -> Column:
     v = F.try_parse_json(payload)
     many = F.try_variant_get(v, f"$.{path}", "array<string>")
     return F.coalesce(F.array_join(many, "\n"), F.try_variant_get(v, f"$.{path}", "string"))
+
+
+def labelled_tokens(cells: DataFrame, annotations: DataFrame, size: float = 1025.0, other: str = "O") -> DataFrame:
+    """(image_id, tokens, bboxes, ner_tags): words of an image's cells (image_id, at, text, x, y, w, h), labelled by the first annotation (image_id, at, label, x, y, w, h) that holds the cell's centre."""
+    c, a = cells.alias("c"), annotations.alias("a")
+    mid_x, mid_y = F.col("c.x") + F.col("c.w") / 2, F.col("c.y") + F.col("c.h") / 2
+    inside = mid_x.between(F.col("a.x"), F.col("a.x") + F.col("a.w")) & mid_y.between(F.col("a.y"), F.col("a.y") + F.col("a.h"))
+    met = c.join(a, F.col("c.image_id") == F.col("a.image_id"), "left").groupBy("c.image_id", "c.at", "c.text", "c.x", "c.y", "c.w", "c.h").agg(F.min_by("a.label", F.when(inside, F.col("a.at"))).alias("label"))
+    scaled = lambda v: F.greatest(F.lit(0), F.least(F.lit(1000), F.floor(v / size * 1000))).cast("int")
+    box = F.array(scaled(F.col("x")), scaled(F.col("y")), scaled(F.col("x") + F.col("w")), scaled(F.col("y") + F.col("h")))
+    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    rows = met.select("image_id", "at", F.posexplode(words).alias("k", "token"), box.alias("box"), F.coalesce("label", F.lit(other)).alias("tag"))
+    got = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("at", "k", "token", "box", "tag"))).alias("v"))
+    return got.select("image_id", F.transform("v", lambda x: x["token"]).alias("tokens"), F.transform("v", lambda x: x["box"]).alias("bboxes"), F.transform("v", lambda x: x["tag"]).alias("ner_tags"))

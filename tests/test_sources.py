@@ -134,3 +134,54 @@ def test_semantic_break(spark):
     got = markup.buffered_chunks(spark.createDataFrame(rows, "doc_id int, page int, pos int, region_type string, text string")).orderBy("chunk").collect()
     assert [(r.first_pos, r.n) for r in got] == [(1, 1), (2, 2)]
     assert markup.buffered_chunks(spark.createDataFrame(rows, "doc_id int, page int, pos int, region_type string, text string"), chunk_chars=10).count() == 3
+
+
+def test_streams(spark, tmp_path):
+    from docloom import streaming
+
+    rows = [("a", 2, "c"), ("b", 0, "x"), ("a", 0, "a"), ("a", 1, "b"), ("a", 1, "b")]
+    made = spark.createDataFrame(rows, "job string, seq int, token string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    made.repartition(2).write.parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in")
+    q = streaming.reassembled(read()).writeStream.outputMode("update").format("memory").queryName("joined").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {(r.job, r.text, r.n) for r in spark.table("joined").collect()} == {("a", "abc", 3), ("b", "x", 1)}
+    seen = []
+    q = streaming.forward(read(), lambda rows, _: seen.extend(r.seq for r in rows.collect()), f"{tmp_path}/check")
+    assert q.awaitTermination(120) and sorted(seen) == [0, 0, 1, 1, 2]
+
+
+def test_reading_order_by_brute_force(spark):
+    """Random boxes against the recursion in its plainest form: the widest gap from an edge that ends a box to one that begins a box, with none between."""
+    import random
+
+    from docloom.operators import layout
+
+    def cut(boxes, low):
+        best, starts, ends = (layout.GAP, None), [b[low] for b in boxes], [b[low + 2] for b in boxes]
+        for e in sorted(ends):
+            for s in sorted(starts):
+                if s - e > best[0] and not any(e <= x < s for x in starts) and not any(e < x <= s for x in ends):
+                    best = (s - e, (e + s) / 2)
+        return best[1]
+
+    def order(boxes):
+        if len(boxes) < 2:
+            return boxes
+        wide = max(b[2] for b in boxes) - min(b[0] for b in boxes) > max(b[3] for b in boxes) - min(b[1] for b in boxes)
+        for low in (0, 1) if wide else (1,):
+            at = cut(boxes, low)
+            if at is not None:
+                first = [b for b in boxes if (b[low] + b[low + 2]) / 2 < at]
+                rest = [b for b in boxes if b not in first]
+                if first and rest:
+                    return order(first) + order(rest)
+        return sorted(boxes, key=lambda b: (b[1], b[0]))
+
+    rng = random.Random(4)
+    for _ in range(200):
+        boxes = []
+        for k in range(rng.randint(1, 9)):
+            x, y = rng.choice((0, 300, 640)), rng.choice((0, 120, 260, 500))
+            boxes.append((x, y + rng.randint(0, 9), x + rng.randint(20, 220), y + rng.randint(20, 60), k))
+        assert [b[4] for b in layout.xy_cut(boxes)] == [b[4] for b in order(boxes)]
