@@ -677,6 +677,28 @@ def jaccard_groups(rows):
     return group
 
 
+def test_marks_without_broadcasts(spark, monkeypatch):
+    docs_, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    want = sorted(tuple(r) for r in toxicity.learning_rows(docs_, labels).collect())
+    good = sorted(tuple(r) for r in docs_.join(quality._near(quality.trusted_marks(labels)), "doc_id", "left_semi").select("doc_id").collect())
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in toxicity.learning_rows(docs_, labels).collect()) == want
+    assert sorted(tuple(r) for r in docs_.join(quality._near(quality.trusted_marks(labels)), "doc_id", "left_semi").select("doc_id").collect()) == good
+
+
+def test_tables_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from docloom.llm import storage
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(cluster)
+    assert storage.shared_dir(spark)
+
+
 def test_pipeline_against_brute_force(spark):
     """Near copies, repeated passages and packing by plain loops; toxic documents and leaks by the operators, which have tests of their own."""
     from tokenizers import Tokenizer
