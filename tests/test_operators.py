@@ -74,3 +74,19 @@ def test_streaming_progress(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert got and all(r.n == 2 for r in got)
+
+
+def test_searches_beyond_their_broadcasts(spark, monkeypatch):
+    import random
+
+    from docloom.operators import scoring
+
+    rng = random.Random(5)
+    e = spark.createDataFrame([(i, [rng.random() for _ in range(4)], i % 3) for i in range(60)], "entry_id long, vector array<double>, domain long")
+    q = e.where("entry_id % 4 = 0").withColumnRenamed("entry_id", "query_id")
+    bags = spark.createDataFrame([(i, [rng.choice("abcdefg") for _ in range(6)]) for i in range(40)], "id long, tokens array<string>")
+    run = lambda: (sorted(map(tuple, scoring.cosine_search(q, e).collect())), sorted(map(tuple, scoring.bag_cosine(bags, bags.where("id % 5 = 0")).collect())))
+    want = run()
+    monkeypatch.setattr(scoring, "BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(scoring, "BROADCAST_WORDS", 0)
+    assert run() == want and len(want[0]) == 45 and len(want[1]) == 24
