@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 PACKAGES = {"booktabs": (r"\toprule", r"\midrule", r"\bottomrule"), "amsmath": (r"\align", r"\begin{align", r"\begin{multline", r"\frac", r"\sum"), "graphicx": (r"\includegraphics",), "caption": (r"\caption",)}
 # Patterns stripped from LaTeX, in this order.
 PLAIN = ("%.*", r"(?s)\$[^$]+\$|\\\[.*?\\\]|\\\(.+?\\\)", r"\\(begin|end)\{[^\}]+\}", r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?", r"[{}]", r"\s+")
+# Functions that an equation check and a normalisation know.
 FUNCTIONS = ("sin", "cos", "tan", "cot", "sec", "csc", "log", "ln", "exp")
 NORMALISED_FUNCTIONS = ("sin", "cos", "tan", "log", "ln", "exp")
 # Classes of mathematical text, first match, with a score.
@@ -171,15 +174,15 @@ def equation_score(issues: Column) -> Column:
     return F.when(F.array_contains(issues, "empty-equation"), 0.0).when(F.size(issues) == 0, 0.95).otherwise(F.greatest(F.lit(0.0), 0.8 - (errors * 0.25 + warnings * 0.1)))
 
 
+# Notes on an equation's health.
+HEALTH = {"extra": "extra closing brace", "open": "unmatched braces", "delimiters": "left/right delimiter mismatch", "placeholder": "placeholder '?' detected in equation"}
+
+
 def equation_health(text: Column) -> Column:
     """Notes on an equation: braces, left and right delimiters, placeholders."""
     extra, left = unclosed(text)
-    return F.array_compact(F.array(
-        F.when(extra > 0, "extra closing brace"),
-        F.when((extra == 0) & (left > 0), "unmatched braces"),
-        F.when(count_of(text, r"\left") != count_of(text, r"\right"), "left/right delimiter mismatch"),
-        F.when(F.contains(text, F.lit("?")), "placeholder '?' detected in equation"),
-    ))
+    faults = {"extra": extra > 0, "open": (extra == 0) & (left > 0), "delimiters": count_of(text, r"\left") != count_of(text, r"\right"), "placeholder": F.contains(text, F.lit("?"))}
+    return F.array_compact(F.array(*(F.when(holds, HEALTH[k]) for k, holds in faults.items())))
 
 
 def snippet_syntax(latex: Column) -> Column:
@@ -272,10 +275,24 @@ def caption_score(caption: Column, context: Column) -> Column:
     return F.when(F.coalesce(caption, F.lit("")) == "", 0.0).otherwise(F.least(F.lit(1.0), n / 12.0) * 0.6 + relevance * 0.4)
 
 
+# What a document's looks gain by; each needs one marker of every group.
+AESTHETIC_BASE = 0.3
+AESTHETICS = (
+    (((r"\usepackage{booktabs}", r"\toprule"),), 0.2),
+    (((r"\begin{align", r"\begin{equation}"),), 0.1),
+    (((r"\usepackage{geometry}",), ("margin",)), 0.05),
+    (((r"\begin{figure",), (r"\includegraphics",)), 0.15),
+    (((r"\usepackage{hyperref}",),), 0.05),
+    (((r"\begin{table}",), (r"\caption",)), 0.1),
+)
+
+
 def aesthetic_score(latex: Column) -> Column:
-    has = lambda s: F.contains(latex, F.lit(s))
-    add = lambda c, v: F.when(c, v).otherwise(0.0)
-    total = 0.3 + add(has(r"\usepackage{booktabs}") | has(r"\toprule"), 0.2) + add(has(r"\begin{align") | has(r"\begin{equation}"), 0.1)
-    total = total + add(has(r"\usepackage{geometry}") & has("margin"), 0.05) + add(has(r"\begin{figure") & has(r"\includegraphics"), 0.15)
-    total = total + add(has(r"\usepackage{hyperref}"), 0.05) + add(has(r"\begin{table}") & has(r"\caption"), 0.1)
+    """What a document's markers are worth, 1 at most."""
+    total = F.lit(AESTHETIC_BASE)
+    for groups, worth in AESTHETICS:
+        holds = F.lit(True)
+        for markers in groups:
+            holds = holds & latex.rlike("|".join(re.escape(m) for m in markers))
+        total = total + F.when(holds, worth).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))

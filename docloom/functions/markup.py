@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.latex import escape, replace_all
+from docloom.functions.text import plain_prose
 
 # Glyphs of recognised text and what they become.
 OCR_GLYPHS = (("−", "-"), ("–", "-"), ("—", "-"), ("∗", "*"), ("ﬁ", "fi"), ("ﬂ", "fl"))
@@ -117,16 +118,6 @@ def math_macros(text: Column) -> Column:
     return text
 
 
-def plain_equation(body: Column) -> Column:
-    """Whether an equation's body is prose."""
-    t = F.trim(body)
-    letters, slashes, signs = (F.regexp_count(t, F.lit(p)) for p in (r"\p{L}", r"\\", r"[=+\-/*_^]"))
-    rows = F.filter(F.transform(lines(t), lambda x: F.trim(x)), lambda x: x != "")
-    worded = F.size(F.filter(rows, lambda x: F.regexp_count(x, F.lit(r"\p{L}")) >= 4)) >= 2
-    listed = (F.size(rows) >= 3) & worded & F.exists(rows, lambda x: F.contains(x, F.lit(":")))
-    return (t != "") & (F.contains(t, F.lit("```")) | t.startswith("%") | listed | ((letters > 20) & (slashes <= 1) & (signs < letters / 4)))
-
-
 def demote_equations(latex: Column) -> Column:
     """Equation environments that hold prose become escaped paragraphs."""
     found, rest = F.regexp_extract_all(latex, F.lit(EQUATION_BLOCK), F.lit(0)), F.split(latex, EQUATION_BLOCK)
@@ -134,7 +125,7 @@ def demote_equations(latex: Column) -> Column:
     def rendered(block):
         body = F.regexp_extract(block, EQUATION_BLOCK, 1)
         flat = F.array_join(F.filter(F.transform(lines(body), lambda x: F.trim(x)), lambda x: x != ""), " ")
-        return F.when(plain_equation(body), F.when(flat == "", "").otherwise(F.concat(F.lit("\\par "), escape(flat, None), F.lit("\\par\n")))).otherwise(block)
+        return F.when(plain_prose(F.trim(body)), F.when(flat == "", "").otherwise(F.concat(F.lit("\\par "), escape(flat, None), F.lit("\\par\n")))).otherwise(block)
 
     return F.array_join(F.zip_with(rest, F.transform(found, rendered), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 

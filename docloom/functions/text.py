@@ -175,16 +175,25 @@ def refined_type(raw: Column, levelled: Column) -> Column:
     return F.when(has("table"), "table").when(has("figure", "image", "img"), "figure").when(has("equation", "formula", "math"), "equation").when(has("heading") | levelled, "heading").otherwise("text")
 
 
+# Glyphs that are easily taken for others, and markers of a prompt.
+LIKE_GLYPHS = r"(?i)((^|{edge})[S5]0[B8]|(^|{edge})SOB($|{edge})|[Il1]{{2,}}|0O|O0)"
+ECHO_MARKS = ("style exemplars", "respond with:", "<<<source")
+
+
 def ambiguous(text: Column) -> Column:
     """Whether glyphs occur that are easily taken for others (S and 5, l and 1, O and 0)."""
     edge = r"[^\p{L}\p{N}_]"
-    return text.rlike(rf"(?i)((^|{edge})[S5]0[B8]|(^|{edge})SOB($|{edge})|[Il1]{{2,}}|0O|O0)")
+    return text.rlike(LIKE_GLYPHS.format(edge=edge))
 
 
 def prompt_echo(text: Column) -> Column:
     """Whether two markers of a prompt occur."""
     low = F.lower(text)
-    return sum((F.contains(low, F.lit(m)).cast("int") for m in ("style exemplars", "respond with:", "<<<source")), F.lit(0)) >= 2
+    return sum((F.contains(low, F.lit(m)).cast("int") for m in ECHO_MARKS), F.lit(0)) >= 2
+
+
+# How many letters prose has at least, and how many commands at most.
+PROSE_LETTERS, PROSE_COMMANDS = 20, 1
 
 
 def plain_prose(text: Column) -> Column:
@@ -192,5 +201,5 @@ def plain_prose(text: Column) -> Column:
     letters = lambda x: F.regexp_count(x, F.lit(r"\p{L}"))
     lines = _lines(text)
     labelled = (F.size(lines) >= 3) & (F.size(F.filter(lines, lambda x: letters(x) >= 4)) >= 2) & F.exists(lines, lambda x: F.contains(x, F.lit(":")))
-    sparse = (letters(text) > 20) & (F.regexp_count(text, F.lit(r"\\")) <= 1) & (F.regexp_count(text, F.lit(r"[=+\-/*_^]")) < letters(text) / 4)
+    sparse = (letters(text) > PROSE_LETTERS) & (F.regexp_count(text, F.lit(r"\\")) <= PROSE_COMMANDS) & (F.regexp_count(text, F.lit(r"[=+\-/*_^]")) < letters(text) / 4)
     return (text != "") & (F.contains(text, F.lit("```")) | text.startswith("%") | labelled | sparse)

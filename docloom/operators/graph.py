@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from docloom.operators.chunks import sections
 
 
+# How citations are written.
+NUMERIC = r"\[([0-9]+(?:\s*(?:-|,)\s*[0-9]+)*)\]"
+AUTHOR_YEAR = r"(\([A-Z][A-Za-z\-\s']+?,\s*(?:19[0-9]{2}|20[0-9]{2})\))"
+CITE = r"\\cite[t|p|alp|author|year]*\{([^}]+)\}"
+
+
 def document_graph(chunks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (doc_id, id, type) and edges (doc_id, source, target, type): a document contains sections, a section orders chunks."""
     rows = sections(chunks)
@@ -112,15 +118,15 @@ def comments_before(lines: DataFrame, comments: DataFrame) -> DataFrame:
 def citations(rows: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, style, id) of each citation: numbers in brackets, author and year, commands."""
     t = F.col("text")
-    numeric = F.transform(F.regexp_extract_all(t, F.lit(r"\[([0-9]+(?:\s*(?:-|,)\s*[0-9]+)*)\]"), F.lit(1)), lambda x: F.struct(F.lit("numeric").alias("style"), F.concat(F.lit("numeric-"), F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit(","), F.lit("_"))).alias("id")))
-    found = F.regexp_extract_all(t, F.lit(r"(\([A-Z][A-Za-z\-\s']+?,\s*(?:19[0-9]{2}|20[0-9]{2})\))"), F.lit(1))
+    numeric = F.transform(F.regexp_extract_all(t, F.lit(NUMERIC), F.lit(1)), lambda x: F.struct(F.lit("numeric").alias("style"), F.concat(F.lit("numeric-"), F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit(","), F.lit("_"))).alias("id")))
+    found = F.regexp_extract_all(t, F.lit(AUTHOR_YEAR), F.lit(1))
 
     def author(x: Column) -> Column:
         who = F.trim(F.regexp_extract(x, r"\(([^,]+),", 1))
         name = F.regexp_replace(F.regexp_replace(F.lower(who), "[^0-9a-z]+", "-"), "^-+|-+$", "")
         return F.struct(F.lit("author-year").alias("style"), F.concat(F.lit("authyear-"), F.when(name == "", "author").otherwise(name), F.lit("-"), F.regexp_extract(x, r"([0-9]{4})\)", 1)).alias("id"))
 
-    keys = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"\\cite[t|p|alp|author|year]*\{([^}]+)\}"), F.lit(1)), lambda x: F.filter(F.transform(F.split(x, ","), lambda k: F.trim(k)), lambda k: k != "")))
+    keys = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(CITE), F.lit(1)), lambda x: F.filter(F.transform(F.split(x, ","), lambda k: F.trim(k)), lambda k: k != "")))
     command = F.transform(keys, lambda k: F.struct(F.lit("tex-command").alias("style"), F.concat(F.lit("tex-"), k).alias("id")))
     return rows.select("doc_id", "chunk_id", F.explode(F.concat(numeric, F.transform(found, author), command)).alias("c")).select("doc_id", "chunk_id", "c.style", "c.id")
 

@@ -101,6 +101,14 @@ def changed_units(units: DataFrame, cached: DataFrame) -> DataFrame:
     return units.join(cached.select("checksum").distinct(), "checksum", "left_anti")
 
 
+# Compiler messages, with what they name.
+MISSING_FILE = r"File `([^`]+)\.sty' not found"
+UNDEFINED_COMMAND = r"Undefined control sequence[^\\]{0,120}\\([A-Za-z@]+)"
+UNDEFINED_ENVIRONMENT = r"Environment ([A-Za-z*]+) undefined"
+MATH_MODE = r"Missing \$ inserted|Bad math environment delimiter|Display math should end with|Illegal math"
+ALIGNMENT_TABS = r"Extra alignment tab has been changed to\\cr"
+
+
 def log_issues(logs: DataFrame, key: str, log: str) -> DataFrame:
     """(key, code, detail, action) of what a compiler's log complains about."""
     text = F.col(log)
@@ -114,11 +122,11 @@ def log_issues(logs: DataFrame, key: str, log: str) -> DataFrame:
         return F.when(text.rlike(pattern), F.array(issue(code, none, fix))).otherwise(F.array().cast("array<struct<code:string,detail:string,action:string>>"))
 
     found = F.concat(
-        F.transform(many(r"File `([^`]+)\.sty' not found"), lambda p: issue("missing-package", p, act("add-package", "package", p))),
-        F.transform(many(r"Undefined control sequence[^\\]{0,120}\\([A-Za-z@]+)"), lambda c: issue("undefined-command", c, act("define-command", "command", c))),
-        F.transform(many(r"Environment ([A-Za-z*]+) undefined"), lambda e: issue("environment-undefined", e, F.when(package[e].isNotNull(), act("add-package", "package", package[e])))),
-        once(r"Missing \$ inserted|Bad math environment delimiter|Display math should end with|Illegal math", "math-mode"),
-        once(r"Extra alignment tab has been changed to\\cr", "alignment-tabs"),
+        F.transform(many(MISSING_FILE), lambda p: issue("missing-package", p, act("add-package", "package", p))),
+        F.transform(many(UNDEFINED_COMMAND), lambda c: issue("undefined-command", c, act("define-command", "command", c))),
+        F.transform(many(UNDEFINED_ENVIRONMENT), lambda e: issue("environment-undefined", e, F.when(package[e].isNotNull(), act("add-package", "package", package[e])))),
+        once(MATH_MODE, "math-mode"),
+        once(ALIGNMENT_TABS, "alignment-tabs"),
     )
     return logs.select(key, F.posexplode(found).alias("at", "i")).select(key, "at", "i.code", "i.detail", "i.action")
 
