@@ -395,10 +395,10 @@ def _gate_case(d: str) -> str:
 @query("m08_m09_m10_m12_all_inputs", f"""WITH z AS (SELECT *, {_NOISE} AS noise, CASE region_type WHEN 'table' THEN 1.35 WHEN 'figure' THEN 1.25 WHEN 'formula' THEN 1.15 WHEN 'heading' THEN 0.95 ELSE 1.0 END::DOUBLE AS weight FROM chunks),
 p AS (SELECT doc_id, CASE WHEN avg((region_type = 'formula')::INT) >= 0.25 THEN 'math' WHEN avg((region_type = 'figure')::INT) >= 0.3 THEN 'reference' ELSE 'narrative' END AS doc_type, round(avg(least(1.0::DOUBLE, length(text) / 100.0::DOUBLE)), 6) AS semantic, round(avg(1.0::DOUBLE - noise), 6) AS content, round(count(DISTINCT page) / max(page), 6) AS structural,
   round(greatest(0, 1.0::DOUBLE - 0.4::DOUBLE * count(*) FILTER (region_type = 'table') / count(DISTINCT page)), 6) AS visual, round(avg(0.4::DOUBLE + 0.6::DOUBLE * least(1.0::DOUBLE, (6 + pos * 5 % 20) / 24.0::DOUBLE)), 6) AS confidence, max(noise) > 0.45 AS errors, round(avg(weight) / 1.35::DOUBLE, 6) AS aesthetic FROM z GROUP BY doc_id),
-o AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.3::DOUBLE * structural + 0.3::DOUBLE * content + 0.2::DOUBLE * visual + 0.2::DOUBLE * semantic) * (0.85::DOUBLE + 0.15::DOUBLE * confidence) - CASE WHEN errors THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END)), 5) AS overall FROM p),
-r AS (SELECT *, round(0.9::DOUBLE * (0.5::DOUBLE * CASE WHEN errors THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END + 0.3::DOUBLE * semantic + 0.2::DOUBLE * aesthetic) + 0.1::DOUBLE * overall, 5) AS reward FROM o),
+o AS (SELECT *, floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.3::DOUBLE * structural + 0.3::DOUBLE * content + 0.2::DOUBLE * visual + 0.2::DOUBLE * semantic) * (0.85::DOUBLE + 0.15::DOUBLE * confidence) - CASE WHEN errors THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END)) * 100000 + 0.5) / 100000 AS overall FROM p),
+r AS (SELECT *, floor((0.9::DOUBLE * (0.5::DOUBLE * CASE WHEN errors THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END + 0.3::DOUBLE * semantic + 0.2::DOUBLE * aesthetic) + 0.1::DOUBLE * overall) * 100000 + 0.5) / 100000 AS reward FROM o),
 g AS (SELECT *, list_filter([{', '.join(_gate_case(d) for d in ('semantic', 'content', 'structural', 'visual', 'reward'))}], lambda x: x IS NOT NULL) AS failed FROM r)
-SELECT doc_id, doc_type, overall, reward, round((semantic + content + structural + visual + overall) / 5, 4) AS aggregate, array_to_string(failed, ',') AS failed, len(failed) = 0 AS passed FROM g""", True)
+SELECT doc_id, doc_type, overall, reward, floor((semantic + content + structural + visual + overall) / 5 * 100000 + 0.5) / 100000 AS aggregate, array_to_string(failed, ',') AS failed, len(failed) = 0 AS passed FROM g""", True)
 def m08(spark, sf):
     from docloom.operators import fusion as X
 
@@ -416,10 +416,11 @@ def m08(spark, sf):
         (F.max("noise") > 0.45).alias("errors"),
         F.round(F.avg(T.region_weight(c("region_type"))) / 1.35, 6).alias("aesthetic"),
     )
-    p = p.withColumn("overall", F.round(X.overall(c("structural"), c("content"), c("visual"), c("semantic"), c("confidence"), c("errors")), 5))
-    p = p.withColumn("reward", F.round(X.reward(F.when(c("errors"), -1.0).otherwise(1.0), c("semantic"), c("aesthetic"), c("overall")), 5))
+    five = lambda x: F.floor(x * 100000 + 0.5) / 100000
+    p = p.withColumn("overall", five(X.overall(c("structural"), c("content"), c("visual"), c("semantic"), c("confidence"), c("errors"))))
+    p = p.withColumn("reward", five(X.reward(F.when(c("errors"), -1.0).otherwise(1.0), c("semantic"), c("aesthetic"), c("overall"))))
     mean = (c("semantic") + c("content") + c("structural") + c("visual") + c("overall")) / 5
-    return S.gate(p, "doc_type").select("doc_id", "doc_type", "overall", "reward", F.round(mean, 4).alias("aggregate"), F.array_join("failed", ",").alias("failed"), "passed")
+    return S.gate(p, "doc_type").select("doc_id", "doc_type", "overall", "reward", five(mean).alias("aggregate"), F.array_join("failed", ",").alias("failed"), "passed")
 
 
 @query("a16_all_inputs", f"""WITH z AS (SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - {_NOISE}) AS clear, CASE WHEN source = 'src0' THEN 1.0 WHEN source = 'src1' THEN 0.1 ELSE 0.6 END::DOUBLE AS ocr, CASE WHEN count(*) OVER (PARTITION BY doc_id, page, lower(text)) > 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS consensus, CASE pos % 4 WHEN 0 THEN region_type WHEN 1 THEN 'table' WHEN 2 THEN '' END AS vision FROM chunks),
