@@ -35,14 +35,18 @@ NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words, and placeholders that hold their value: a type (0x01 number, 0x02 unit, 0x03 name, 0x05 word or name), the value, 0x04."""
+    """Lower-case words, and placeholders that hold their value: a type (0x01 number, 0x02 unit, 0x03 name, 0x05 word or name), the value, 0x04.
+
+    Repeated groups are possessive: Java matches greedy ones by recursion, and a run of some
+    2000 capitalised words overflowed a task's stack, which ends the executor.
+    """
     text = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01\x02\x03\x04\x05", "     ")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     numbered = F.regexp_replace(text, rf"(?<=[0-9])(\s?)(%|(?i:{units})(?![\p{{L}}\p{{N}}]))", "\x02$2\x04")
     numbered = F.regexp_replace(numbered, r"([$€£])(?=[0-9])", "\x02$1\x04")
-    numbered = F.regexp_replace(numbered, "(?<![\\p{L}\\p{N}\x02])([0-9]+(?:[.,:/][0-9]+)*)", "\x01$1\x04")
+    numbered = F.regexp_replace(numbered, "(?<![\\p{L}\\p{N}\x02])([0-9]+(?:[.,:/][0-9]+)*+)", "\x01$1\x04")
     text = F.when(text.rlike("[0-9]"), numbered).otherwise(text)
-    text = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll},;] .)\p{L}*)(?:\s\p{Lu}\p{L}*)*", "\x03$1\x04")
+    text = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll},;] .)\p{L}*)(?:\s\p{Lu}\p{L}*)*+", "\x03$1\x04")
     text = F.regexp_replace(text, "(?<![\\p{L}\\p{N}\x01-\x03])(\\p{Lu}\\p{L}*)", "\x05$1\x04")
     return F.regexp_extract_all(F.lower(text), F.lit("[\x01-\x03\x05][^\x04]*\x04|[\\p{L}\\p{N}]+"), F.lit(0))
 

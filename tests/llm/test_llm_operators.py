@@ -699,6 +699,24 @@ def test_tables_need_a_shared_folder(spark, monkeypatch):
     assert storage.shared_dir(spark)
 
 
+def test_long_runs_of_names_and_numbers_are_read(spark):
+    """In a process of its own: an overflow of the stack ends the JVM."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+from pyspark.sql import SparkSession
+from docloom.llm import decontamination as d
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+names, numbers = " ".join(["Word"] * 30000), ".".join(["7"] * 30000)
+rows = s.createDataFrame([(1, "to " + names + " end"), (2, "at " + numbers)], "doc_id long, text string").repartition(1)
+got = {r.doc_id: r.t for r in rows.select("doc_id", d.tokens(d.F.col("text")).alias("t")).collect()}
+assert got == {1: ["to", "\\x03word\\x04", "end"], 2: ["at", "\\x01" + numbers + "\\x04"]}, got
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=180, cwd=Path(__file__).resolve().parents[2])
+
+
 def test_pipeline_against_brute_force(spark):
     """Near copies, repeated passages and packing by plain loops; toxic documents and leaks by the operators, which have tests of their own."""
     from tokenizers import Tokenizer
