@@ -85,7 +85,7 @@ def is_mathy(line: Column) -> Column:
     marked = t.startswith("\\")
     for m in TEXT_MARKERS:
         marked = marked | F.contains(t, F.lit(m))
-    return (t != "") & ~marked & t.rlike("[" + "".join("\\" + c for c in MATH_CHARACTERS) + "]") & (F.regexp_count(t, F.lit(r"\p{L}")) <= F.char_length(t) * 0.7)
+    return (t != "") & ~marked & t.rlike("[" + "".join("\\" + c for c in MATH_CHARACTERS) + "]") & (F.regexp_count(t, F.lit(r"\p{L}")) * 10 <= F.char_length(t) * 7)  # whole numbers: 90 * 0.7 is below 63
 
 
 def _aligned(line: Column) -> Column:

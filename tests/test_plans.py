@@ -57,3 +57,13 @@ def test_entry_points_import_without_a_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and len(e.oracle_sql()) > 200"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_formula_blocks_where_letters_are_seven_tenths(spark, tmp_path):
+    lines = [c * letters + "=" * (n - letters) for n in (10, 90, 170, 180, 330, 650) for c in ("a", "é") for letters in (7 * n // 10 - 1, 7 * n // 10, 7 * n // 10 + 1)]
+    rows = [(i, "\n".join(["plain", "plain", line, "plain", "plain", line, line]), "s") for i, line in enumerate(lines)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    name, con = "r40_w14_formula_blocks", duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, plans.QUERIES[name](spark, str(tmp_path)).select("doc_id", "latex").collect()))
+    assert got == sorted(con.execute(f"SELECT doc_id, latex FROM ({plans.ORACLES[name]})").fetchall())
