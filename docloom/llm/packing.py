@@ -33,7 +33,11 @@ BLOCK_ITEMS = 2048
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 6
+#: An island goes on for so many generations at most, and until the bound is met or so many in a row found nothing better.
+GENERATIONS = 400
+STALLED = 40
+#: Displaced pieces whose pairs are tried in exchange for pairs of a bin.
+PAIRED = 24
 #: A bin filled less than so is opened again in the next round.
 WELL_FILLED = 0.995
 #: Rounds end when one block is left, or when a round has filled too few bins: of its pieces more than this share came back.
@@ -223,11 +227,35 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], room:
     return best_fit(child, lengths, displaced, room)
 
 
+def exchange(bins: list[list[int]], lengths: list[int], displaced: list[int], room: int, rng: Random) -> list[int]:
+    """Fill bins better (in place) with displaced pieces for one or two of their own; what is displaced then, in smaller pieces."""
+    for k in rng.sample(range(len(bins)), len(bins)):
+        own = bins[k]
+        free = room - sum(lengths[x] for x in own)
+        if not free or not displaced:
+            continue
+        some = displaced if len(displaced) <= PAIRED else rng.sample(displaced, PAIRED)
+        offers = sorted([(lengths[x], (x,)) for x in displaced] + [(lengths[x] + lengths[y], (x, y)) for i, x in enumerate(some) for y in some[:i]])
+        wanted = [()] + [(x,) for x in own] + [(x, y) for i, x in enumerate(own[:PAIRED]) for y in own[:i]]
+        best = (0, (), ())
+        for out in wanted:
+            size = sum(lengths[x] for x in out)
+            at = bisect_left(offers, (size + free + 1,)) - 1
+            if at >= 0 and offers[at][0] - size > best[0]:
+                best = (offers[at][0] - size, out, offers[at][1])
+        if best[0]:
+            bins[k] = [x for x in own if x not in best[1]] + list(best[2])
+            displaced = [x for x in displaced if x not in best[2]] + list(best[1])
+    return displaced
+
+
 def mutate(bins: list[list[int]], lengths: list[int], room: int, rng: Random) -> list[list[int]]:
-    """Open the emptiest bin and a few others, and best-fit their pieces."""
+    """Open the emptiest bin and a few others, exchange their pieces for those of other bins, and best-fit what is left."""
     order = sorted(range(len(bins)), key=lambda k: sum(lengths[x] for x in bins[k]))
     opened = {*order[:2], *rng.sample(order, min(len(order), 4))}
-    return best_fit([list(x) for k, x in enumerate(bins) if k not in opened], lengths, [i for k in opened for i in bins[k]], room)
+    rest = [list(x) for k, x in enumerate(bins) if k not in opened]
+    displaced = exchange(rest, lengths, [i for k in sorted(opened) for i in bins[k]], room, rng)
+    return best_fit(rest, lengths, displaced, room)
 
 
 def evolve(lengths: list[int], elites: list[list[list[int]]], room: int, seed: int, generations: int = GENERATIONS) -> list[list[int]]:
@@ -241,12 +269,15 @@ def evolve(lengths: list[int], elites: list[list[list[int]]], room: int, seed: i
         cut = rng.randrange(len(items) // 2 + 1)
         found.append(best_fit(best_fit([], lengths, items[:cut], room), lengths, items[cut:], room))
     found = sorted(((fitness(x, lengths, room), x) for x in found), key=lambda p: p[0], reverse=True)
+    stalled = 0
     for _ in range(generations):
-        if -found[0][0][0] <= least or len(found) < 2:
+        if -found[0][0][0] <= least or len(found) < 2 or stalled == STALLED:
             break
         a, b = rng.sample(range(len(found)), 2)
         child = mutate(crossover(found[min(a, b)][1], found[max(a, b)][1], lengths, room, rng), lengths, room, rng)
-        found[-1] = max(found[-1], (fitness(child, lengths, room), child), key=lambda p: p[0])
+        made = (fitness(child, lengths, room), child)
+        stalled = 0 if made[0] > found[0][0] else stalled + 1
+        found[-1] = max(found[-1], made, key=lambda p: p[0])
         found.sort(key=lambda p: p[0], reverse=True)
     return found[0][1]
 

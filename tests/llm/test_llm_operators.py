@@ -142,6 +142,16 @@ def test_packing_is_near_its_bound():
     assert len(bins) <= -(-sum(lengths) // 4096) + 1
 
 
+def test_islands_search_beyond_best_fit():
+    from random import Random
+
+    rng = Random(3)
+    lengths = [rng.randint(900, 1700) for _ in range(600)]
+    best_fit, bins = packing.best_fit([], lengths, list(range(600)), 4096), packing.evolve(lengths, [], 4096, 1)
+    assert sorted(i for b in bins for i in b) == list(range(600)) and all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+    assert len(best_fit) == 204 and len(bins) <= -(-sum(lengths) // 4096) + 2
+
+
 def test_simhash_by_hand(docs, odd, none):
     def by_hand(t):
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
