@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that with the smallest doc_id."""
+    """One document of each group of near copies, that with the smallest doc_id: found by SimHash and pivot tables, those further apart by MinHash, and all checked (five-word shingles, similarity 0.8 or more)."""
     rows, restored = _veiled(docs)
     return restored(near_dedup.one_of_similar(rows))
 

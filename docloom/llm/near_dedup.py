@@ -14,10 +14,12 @@ by more than ``max_distance`` anywhere is discarded (triangle inequality), and t
 survivors are verified by their own Hamming distance. A block emits at most one link for
 each member and component, never all pairs of a dense group.
 
-``similar_documents`` links by another measure: the Jaccard similarity of word shingle
-sets. Texts that share a band of MinHash minima (``BANDS`` of ``BAND_ROWS``) meet in a
-bucket, and there each link is verified by the two sets themselves. A pair of similarity s
-meets with probability 1 - (1 - s^BAND_ROWS)^BANDS; at 0.8 it is missed 6 times in 10^7.
+``similar_documents`` checks texts by the Jaccard similarity of their word shingle sets. The
+components that ``near_duplicates`` finds are its first buckets; pairs further apart than
+``max_distance`` bits meet in a bucket if they share a band of MinHash minima (``BANDS`` of
+``BAND_ROWS``). In each bucket links are verified by the two sets themselves. A pair of
+similarity s shares a band with probability 1 - (1 - s^BAND_ROWS)^BANDS; at 0.8 it is missed
+6 times in 10^7.
 """
 
 from __future__ import annotations
@@ -380,7 +382,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     texts = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = materialize(texts.mapInArrow(frugal(_bands(shingle)), f"id {kind}, mark bigint, bands array<bigint>"), "bands")
-    dealt = rows.select("mark", F.explode("bands").alias("bucket")).distinct()
+    near = near_duplicates(texts, "mark", "text").select("mark", F.xxhash64(F.lit("simhash"), "component_id").alias("bucket"))
+    dealt = rows.select("mark", F.explode("bands").alias("bucket")).unionByName(near).distinct()
     met = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("mark").cast("decimal(38,0)")).alias("who")).where("n > 1")
     met = met.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")  # one of the buckets with the same members
     members = materialize(dealt.join(met, "bucket").select("bucket", "mark"), "buckets")
@@ -394,7 +397,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """(id, component_id) for each row of ``docs``: texts whose sets of word shingles have a Jaccard similarity of ``least`` or more are linked.
+    """(id, component_id) for each row of ``docs``: texts that meet by SimHash or MinHash are linked if their sets of word shingles have a Jaccard similarity of ``least`` or more.
 
     ``component_id`` is as in ``near_duplicates``. Texts without a word are one text.
     """

@@ -673,6 +673,19 @@ def test_near_duplicates_are_dropped_by_row(spark):
             assert sorted(r.mark for r in pipeline.drop_near_duplicates(spark, made, SF).collect()) == ["a", "c", "d", "e", "h"]
 
 
+def test_near_duplicates_are_found_by_fingerprints(spark, monkeypatch):
+    """Without any MinHash band: SimHash links, the sets check."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(near_dedup, "_bands", lambda size: lambda batches: (b.select(["id", "mark"]).append_column("bands", near_dedup.pa.array([[]] * len(b), near_dedup.pa.list_(near_dedup.pa.int64()))) for b in batches))
+    text = [f"w{i}" for i in range(4000)]
+    line = "the same line once more " * 300
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:2000], "other", *text[2001:]])), (3, line + "one end of it is here"), (4, line + "quite another last word there and then some more of them all")]
+    marks = [near_dedup.fingerprint(t.encode()) for _, t in rows]
+    assert (marks[0] ^ marks[1]).bit_count() <= 4 and (marks[2] ^ marks[3]).bit_count() <= 4
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, made, SF).collect()) == [1, 3, 4]
+
+
 def jaccard_groups(rows):
     """The smallest doc_id that pairs of similarity 0.8 reach, from (doc_id, text) rows with distinct ids."""
     sets = {}
